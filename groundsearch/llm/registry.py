@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from groundsearch.llm import simhash
+from groundsearch.llm import mixing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op7_mix": mixing.op7_mix,
+    "op8_quality": quality.op8_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_quality": quality.OP8_SQL,
+}
