@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from groundsearch.llm import mixing, quality, simhash
+from groundsearch.llm import licenses, mixing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op7_mix": mixing.op7_mix,
     "op8_quality": quality.op8_quality,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
     "op8_quality": quality.OP8_SQL,
+    "op10_licenses": licenses.op10_sql(),
 }
