@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from groundsearch.llm import licenses, mixing, quality, simhash
+from groundsearch.llm import language, licenses, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_mix": mixing.op7_mix,
     "op8_quality": quality.op8_quality,
+    "op9_language": language.op9_language,
     "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
     "op8_quality": quality.OP8_SQL,
+    "op9_language": language.op9_language,
     "op10_licenses": licenses.op10_sql(),
 }
