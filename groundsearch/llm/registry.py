@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from groundsearch.llm import language, licenses, mixing, quality, simhash, toxicity
+from groundsearch.llm import language, licenses, mixing, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_substring": substring.op6_substring,
     "op7_mix": mixing.op7_mix,
     "op8_quality": quality.op8_quality,
     "op9_language": language.op9_language,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,10 @@ from pyspark.sql import types as T
 from groundsearch.llm.common import arrow_batches, documents
 from groundsearch.llm.language import remainder
 
-#: Labelled rows that a model is fitted on; words that it may hold; documents that must have a word.
-ROWS, WORDS, SEEN = 6000, 50_000, 3
+#: Labelled rows that a model is fitted on; features that it may hold; how clearly a feature must go with a label to be used.
+ROWS, FEATURES, CLEAR = 6000, 4000, 3.4
+#: Words whose weights a worker remembers.
+CACHE = 200_000
 #: Documents with at least this score are predicted toxic.
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W_]+")
@@ -26,23 +29,36 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text) if WORD.search(text, *m.span())]
 
 
+def features(word: str) -> list[str]:
+    """The features of a word: itself, and its beginnings of 3 to 5 characters, which inflected forms share."""
+    return [word, *(word[:k] + "~" for k in (3, 4, 5) if len(word) > k)]
+
+
 class Model:
-    """A weight for each word and a bias; a sentence's probability is the logistic of their sum over its distinct words."""
+    """A weight for each feature and a bias; a sentence's probability is the logistic of their sum over its distinct words."""
 
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
-        self.rest = float(np.log1p(np.exp(bias)))  # -log(1 - p) of a sentence without any weighed word
+        self.weights, self.bias, self.known = weights, bias, {}
+        self.rest = float(np.logaddexp(0, bias))  # -log(1 - p) of a sentence without any weighed word
+
+    def word(self, word: str) -> float:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            found = self.known[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        return found
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability, 1 - prod(1 - p) over its sentences (0 for none), and (start, end, p) of sentences that reach THRESHOLD."""
-        low, total, found, get = (text or "").lower(), 0.0, [], self.weights.get
+        low, total, found, word = (text or "").lower(), 0.0, [], self.word
         if len(low) != len(text or ""):  # offsets are those of the text itself
-            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         for m in SENTENCE.finditer(low):
             words = set(WORD.findall(m[0]))
             if not words:
                 continue
-            hits = [w for w in map(get, words) if w is not None]
+            hits = [x for x in map(word, words) if x]
             if not hits:
                 total += self.rest
                 continue
@@ -53,43 +69,57 @@ class Model:
         return float(-np.expm1(-total)), found
 
 
-def fit(documents_: list[tuple[list[list[str]], int]], words: int = WORDS, seen: int = SEEN, rounds: int = 250, rate: float = 0.1, l1: float = 2e-5) -> Model:
+def select(data: list[tuple[list[list[str]], int]], most: int = FEATURES, clear: float = CLEAR) -> dict[str, int]:
+    """Numbers of the features that go with a label clearly: documents that have one, against what the labels' shares let expect.
+
+    The difference must be `clear` standard deviations; rare features that memorise single documents stay out.
+    """
+    count = (Counter(), Counter())
+    for doc, label in data:
+        count[label].update({f for w in {w for s in doc for w in s} for f in features(w)})
+    share = sum(y for _, y in data) / max(1, len(data))
+    clarity = {}
+    for f in count[1].keys() | count[0].keys():
+        n = count[0][f] + count[1][f]
+        z = abs(count[1][f] - n * share) / np.sqrt(n * share * (1 - share) + 1)
+        if n >= 3 and z >= clear:
+            clarity[f] = z
+    return {f: i for i, f in enumerate(sorted(clarity, key=lambda f: (-clarity[f], f))[:most])}
+
+
+def fit(data: list[tuple[list[list[str]], int]], rounds: int = 200, rate: float = 0.1, l2: float = 1e-4) -> Model:
     """A model from (sentences as lists of distinct words, label 0 or 1), by gradient descent on the likelihood of the noisy-or.
 
     With P = 1 - prod(1 - p), the gradient at a sentence's logit is p for label 0 and -p (1 - P) / P for label 1: a toxic document blames
-    the sentences that look worst. Words of fewer than `seen` documents are left out.
+    the sentences that look worst.
     """
-    from collections import Counter
-
-    df = Counter(w for doc, _ in documents_ for w in {w for s in doc for w in s})
-    vocab = {w: i for i, (w, n) in enumerate(sorted(df.items(), key=lambda x: (-x[1], x[0]))[:words]) if n >= seen}
+    vocab = select(data)
     tok, sent, owner, k = [], [], [], 0
-    for d, (doc, _) in enumerate(documents_):
+    for d, (doc, _) in enumerate(data):
         for s in doc:
-            ids = [vocab[w] for w in s if w in vocab]
+            ids = [vocab[f] for w in s for f in features(w) if f in vocab]
             tok += ids
             sent += [k] * len(ids)
             owner.append(d)
             k += 1
     tok, sent, owner = np.array(tok, np.int64), np.array(sent, np.int64), np.array(owner, np.int64)
-    y = np.array([label for _, label in documents_], float)
-    positive = min(max(y.mean(), 1e-3), 1 - 1e-3) if len(y) else 0.1
-    w, b = np.zeros(len(vocab)), float(np.log(positive / max(1.0, len(owner) / max(1, len(y)))))
-    m, v, mb, vb, n = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, max(1, len(y))
+    y = np.array([label for _, label in data], float)
+    n = max(1, len(y))
+    w, b = np.zeros(len(vocab)), -5.0
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = b + np.bincount(sent, w[tok], minlength=k)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        keep = np.exp(-np.bincount(owner, np.logaddexp(0, np.clip(z, -30, 30)), minlength=len(y)))
-        factor = np.where(y > 0, -keep / np.maximum(1 - keep, 1e-9), 1.0)
+        z = np.clip(b + np.bincount(sent, w[tok], minlength=k), -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        clean = np.exp(-np.bincount(owner, np.logaddexp(0, z), minlength=len(y)))
+        factor = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)
         g = p * factor[owner] / n
-        gw, gb = np.bincount(tok, g[sent], minlength=len(w)) + 1e-6 * w, g.sum()
+        gw, gb = np.bincount(tok, g[sent], minlength=len(w)) + l2 * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        step = rate / (1 - 0.9**t)
-        w -= step * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w = np.sign(w) * np.maximum(np.abs(w) - l1 * rate * 50, 0)
-        b -= step * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return Model({x: float(w[i]) for x, i in vocab.items() if abs(w[i]) > 0.02}, float(b))
+        step, root = rate / (1 - 0.9**t), 1 - 0.999**t
+        w -= step * m / (np.sqrt(v / root) + 1e-8)
+        b -= step * mb / (np.sqrt(vb / root) + 1e-8)
+    return Model({f: float(w[i]) for f, i in vocab.items()}, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, held_out=None) -> Model | None:
@@ -123,7 +153,7 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     """The columns of docs (text, any others) with score, predicted and offending (start, stop, probability of each offending sentence).
 
     One row each, no shuffle, whole texts; offsets are code points. A null or empty text, or a missing model, scores 0. Only the model is
-    broadcast: it holds at most WORDS words.
+    broadcast: it holds at most FEATURES features.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
