@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -426,7 +427,20 @@ def features(data: bytes) -> str:
     return f"mean={mean:.3f};dev={x.std():.3f};step={step.mean() if len(step) else 0:.3f};cross={cross:.4f}"
 
 
-_SLICE = 1024
+#: Bytes of texts and of streams that are coded at once: the arrays take some hundred times as much of a worker's memory.
+_TEXTS, _STREAMS = 1 << 19, 1 << 20
+
+
+def _slices(batch: pa.RecordBatch, column: str, most: int):
+    """Parts of a batch whose values in a column have about `most` bytes together, a single longer value excepted."""
+    start = size = 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if k > start and size + n > most:
+            yield batch.slice(start, k - start)
+            start, size = k, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -434,8 +448,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for s in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(s, _SLICE)
+            for part in _slices(batch, "text", _TEXTS):
                 texts = utf8(part, "text")
                 media = encode_many([payload(t) for t in texts])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -453,8 +466,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for s in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(s, _SLICE)
+            for part in _slices(batch, "media", _STREAMS):
                 data = part.column("media").to_pylist()
                 have = [i for i, m in enumerate(data) if m is not None]
                 got = decode_many([data[i] for i in have])
@@ -474,8 +486,7 @@ def media_digests(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for s in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(s, _SLICE)
+            for part in _slices(batch, "media", _STREAMS):
                 stored = part.column("media").to_pylist()
                 data = [(np.frombuffer(b"".join(b["pcm"] for b in blocks), np.uint8) ^ 0x80).tobytes() for blocks in decode_many(stored)]
                 cols = [
