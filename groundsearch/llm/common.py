@@ -30,10 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared folder; its lineage ends there. The files go when the frame does, where Spark is set so."""
+#: Rows of a narrow table that one file of the shared folder holds, about.
+FILE_ROWS = 250_000
+
+
+def files_for(rows: int) -> int:
+    """How many files a narrow table of so many rows is written to."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
+def materialised(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df computed once and written to the shared folder; its lineage ends there. The files go when the frame does, where Spark is set so.
+
+    rows, if known, keeps the number of files, and of tasks that write them, in proportion.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(files_for(rows))).checkpoint()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

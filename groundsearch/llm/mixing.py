@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundsearch.llm.common import SPACE, arrow_batches, documents, written
+from groundsearch.llm.common import SPACE, arrow_batches, documents, files_for, written
 
 #: Rows that one task rounds at once; more rows of a source meet through further levels of the tree.
 BLOCK = 4096
@@ -95,7 +95,8 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     words = F.size(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")).cast("long")
     rows = written(docs.select("doc_id", "source", words.alias("size"), F.xxhash64(text).alias("digest")), "mix-rows")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    targets = written(source_targets(totals.select("source", "source_size")).join(totals.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
+    targets = written(source_targets(totals.select("source", "source_size")).join(totals.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s").coalesce(1), "mix-targets")
+    total = rows.count()  # from the table's footers
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
     plan = plan.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
@@ -115,7 +116,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
             return pdf
 
         schema = live.schema
-        live = written(live.groupBy("source", "block").applyInPandas(run, schema), f"mix-level{level}")
+        live = written(live.groupBy("source", "block").applyInPandas(run, schema).coalesce(files_for(total)), f"mix-level{level}")
         whole = F.abs(F.col("part") - F.round("part")) < 1e-9
         ended = live.where(whole).select("doc_id", "source", "size", "digest", F.round("part").cast("int").alias("extra"))
         done = ended if done is None else done.union(ended)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundsearch.llm.common import arrow_batches, documents, written
+from groundsearch.llm.common import arrow_batches, documents, files_for, written
 
 LENGTH, EOS = 1024, 2
 #: Items that are packed together; islands of each such block, epochs between migrations, generations of an epoch, solutions of an island.
@@ -222,7 +222,7 @@ def pack_items(items: DataFrame, n: int, level: int, length: int = LENGTH, block
         return run
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # rows here are whole blocks
-    wide = min(2 * blocks * ISLANDS, 4096)
+    wide = min(blocks * ISLANDS, 4096)
     state = dealt.groupBy("block").applyInPandas(begin, _ISLAND).repartition(wide, "block", "island").mapInPandas(epoch(0), _ISLAND)
     state = written(state, f"pack-islands-{level}-0")
     for e in range(1, EPOCHS):
@@ -244,7 +244,7 @@ def pack_items(items: DataFrame, n: int, level: int, length: int = LENGTH, block
                 used = np.bincount(bins, sizes).astype(np.int64)
                 yield pd.DataFrame({"uid": np.asarray(r.uids, np.int64)[order], "size": sizes[order], "block": r.block, "bin": bins[order], "offset": offset, "used": used[bins[order]]})
 
-    out = written(best.mapInPandas(place, "uid long, size int, block long, bin long, offset long, used long"), f"pack-placed-{level}")
+    out = written(best.mapInPandas(place, "uid long, size int, block long, bin long, offset long, used long").coalesce(files_for(n)), f"pack-placed-{level}")
     arrow_batches(spark)
     return out
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundsearch.llm.common import documents, map_arrow, utf8, written
+from groundsearch.llm.common import documents, files_for, map_arrow, utf8, written
 from groundsearch.llm.graph import connected_components
 
 BITS = 64
@@ -73,10 +73,10 @@ def near_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def fingerprint_links(values: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
+def fingerprint_links(values: DataFrame, radius: int = 4, bucket: int = BUCKET, rows: int = 0) -> DataFrame:
     """Links (a, b) between fingerprints that make the same components as all pairs within `radius` differing bits.
 
-    values: one column `fp` of distinct int64. Every fingerprint goes to one bucket per covering mask. Buckets are counted by a partial
+    values: one column `fp` of distinct int64, about `rows` of them. Every fingerprint goes to one bucket per covering mask. Buckets are counted by a partial
     aggregation first: single ones end there, two members are a pair, up to `bucket` members meet in one row and give a spanning forest.
     Larger ones, as groups of thousands of near copies make, are divided by covering masks over the bits that their own mask left free,
     and so on until every bucket is small; with at most 12 free bits it is small by itself. No pair is lost at any level.
@@ -90,16 +90,16 @@ def fingerprint_links(values: DataFrame, radius: int = 4, bucket: int = BUCKET)
         tables = [(path, i, mask) for i, (path, _, mask) in enumerate(tables)]
         if len(paths) == 1:
             cells = F.array(*[F.struct(F.lit(i).alias("path"), F.col("fp").bitwiseAND(F.lit(mask)).alias("fixed")) for _, i, mask in tables])
-            rows = live.select("fp", F.explode(cells).alias("c")).select("fp", "c.path", "c.fixed")
+            cells = live.select("fp", F.explode(cells).alias("c")).select("fp", "c.path", "c.fixed")
         else:  # a few thousand masks at most: their number depends on the radius alone
             masks = F.broadcast(spark.createDataFrame(tables, "path int, next int, mask long"))
-            rows = live.join(masks, "path").select("fp", F.col("next").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("fixed"))
-        sizes = rows.groupBy("path", "fixed").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-        sizes = written(sizes, "simhash-buckets")
+            cells = live.join(masks, "path").select("fp", F.col("next").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("fixed"))
+        sizes = cells.groupBy("path", "fixed").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+        sizes = written(sizes.repartition(files_for(rows)), "simhash-buckets")
         found.append(sizes.where("n = 2").select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
         # members of the buckets that need a closer look
         wide = sizes.where("n > 2").select("path", "fixed", "n")
-        members = rows.join(wide, ["path", "fixed"])
+        members = cells.join(wide, ["path", "fixed"])
         small = members.where(F.col("n") <= bucket).groupBy("path", "fixed").agg(F.collect_list("fp").alias("fps")).select("fps")
 
         def links(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -139,8 +139,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket: in
     Repeated rows get one result row each; an empty table gives an empty result.
     """
     fps = with_fingerprint(docs, words)
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    roots = connected_components(fingerprint_links(nodes.select("fp"), radius, bucket)).withColumnsRenamed({"node": "fp"})
+    n = fps.count()  # from the table's footers
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = connected_components(fingerprint_links(nodes.select("fp"), radius, bucket, n), rows=n).withColumnsRenamed({"node": "fp"})
     joined = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = joined.join(first, "root").select("fp", "component_id")
