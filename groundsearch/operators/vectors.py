@@ -7,9 +7,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_type
 
 from groundsearch.functions import text as T
 
@@ -89,25 +91,31 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, item_key: str = "item_
         matrix[i, : len(r[vector] or ())] = r[vector] or ()
     shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema.fields} | {f.name: f.dataType.simpleString() for f in items.schema.fields}
+    names = ["query_id", item_key, "score"]
+    types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(items.schema[item_key].dataType), pa.float64()]
 
     def run(batches):
         ids, matrix = shared.value
-        for pdf in batches:
-            if not len(ids) or not len(pdf):
+        for batch in batches:
+            keys = batch.column(item_key).to_pylist()
+            if not ids or not keys:
                 continue
-            m = np.zeros((len(pdf), matrix.shape[1]))
-            for i, v in enumerate(pdf[vector]):
-                v = np.asarray(() if v is None else v, float)[: matrix.shape[1]]
+            m = np.zeros((len(keys), matrix.shape[1]))
+            for i, v in enumerate(batch.column(vector).to_pylist()):
+                v = np.asarray(v or (), float)[: matrix.shape[1]]
                 m[i, : len(v)] = v
-            keys = pdf[item_key].to_numpy()
+            place = np.argsort(np.argsort(np.array(keys)))
+            out: list[list] = [[], [], []]
             for s in range(0, len(ids), block):
-                scores = matrix[s : s + block] @ m.T
-                for q, row in enumerate(scores, s):
-                    order = np.lexsort((keys, -np.round(row, 12)))[:k]
+                for q, row in enumerate(matrix[s : s + block] @ m.T, s):
+                    order = np.lexsort((place, -np.round(row, 12)))[:k]
                     order = order[row[order] > 0]
-                    yield pd.DataFrame({"query_id": [ids[q]] * len(order), item_key: keys[order], "score": row[order]})
+                    out[0] += [ids[q]] * len(order)
+                    out[1] += [keys[i] for i in order]
+                    out[2] += row[order].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
 
-    found = items.select(item_key, vector).mapInPandas(run, f"query_id {kinds['query_id']}, {item_key} {kinds[item_key]}, score double")
+    found = items.select(item_key, vector).mapInArrow(run, f"query_id {kinds['query_id']}, {item_key} {kinds[item_key]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), item_key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
