@@ -54,33 +54,38 @@ def doc_lengths(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def search(index: DataFrame, lengths: DataFrame, passes: list[tuple[str, object, int]], key: str, weights: dict[str, float]) -> DataFrame:
     """(pass_id, key, score, rank) of each pass (id, expression, limit): rows that match it, best BM25 first (scores are negative).
 
-    All passes run as one plan over the postings of their terms: a leaf's terms are joined by term (an equality on the index's partition
-    key, against a table with a row for each query term), a row's and field's matching starts are counted from positions, and one
-    aggregation per row evaluates every expression. Corpus figures are of the whole index.
+    All passes run as one plan over the postings of their terms: each different leaf is joined by term (an equality on the index's order,
+    against a table with a row for each query term) once, phrases count the starts at which all their terms meet, and one aggregation per
+    row evaluates every expression. Corpus figures are of the whole index.
     """
     spark = index.sparkSession
-    rows, n_leaf, shape = [], {}, {}
+    known: dict[tuple, int] = {}
+    uses, shape = [], {}
     for pass_id, expression, _ in passes:
-        for number, leaf in enumerate(leaves(expression)):
-            terms = T.fts_tokens_py(leaf.text)
-            n_leaf[(pass_id, number)] = len(terms)
-            fields = [f for f in (leaf.fields or tuple(weights)) if f in weights]
-            rows += [(pass_id, number, len(terms), k, t, f) for k, t in enumerate(terms) for f in fields]
         shape[pass_id] = expression
-    schema = "pass_id string, leaf int, n_terms int, at int, term string, field string"
-    wanted = F.broadcast(spark.createDataFrame(rows, schema))  # a row for each query term
-    hits = index.join(wanted, ["term", "field"])
-    starts = F.transform("positions", lambda p: p - F.col("at"))
-    per_field = hits.select("pass_id", "leaf", "n_terms", key, "field", "at", F.explode(starts).alias("start")).groupBy("pass_id", "leaf", key, "field", "start", "n_terms").agg(F.count_distinct("at").alias("have"))
+        for number, leaf in enumerate(leaves(expression)):
+            what = tuple(T.fts_tokens_py(leaf.text)), tuple(f for f in (leaf.fields or tuple(weights)) if f in weights)
+            uses.append((pass_id, number, known.setdefault(what, len(known))))
+    one = [(leaf, terms[0], f) for (terms, fs), leaf in known.items() if len(terms) == 1 for f in fs]
+    many = [(leaf, len(terms), k, t, f) for (terms, fs), leaf in known.items() if len(terms) > 1 for k, t in enumerate(terms) for f in fs]
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    tf = per_field.where("have = n_terms").groupBy("pass_id", "leaf", key).agg(F.sum(F.element_at(weight, F.col("field"))).alias("f"))
-    matches = tf.groupBy("pass_id", "leaf").agg(F.count("*").cast("double").alias("n_match"))
+    # the broadcast tables have a row for each term, or leaf, of the stated passes
+    single = index.join(F.broadcast(spark.createDataFrame(one, "leaf int, term string, field string")), ["term", "field"])
+    tf = single.select("leaf", key, (F.element_at(weight, F.col("field")) * F.col("tf")).alias("f"))
+    if many:
+        hits = index.join(F.broadcast(spark.createDataFrame(many, "leaf int, n_terms int, at int, term string, field string")), ["term", "field"])
+        starts = hits.select("leaf", "n_terms", key, "field", F.explode(F.transform("positions", lambda p: p - F.col("at"))).alias("start"))
+        whole = starts.groupBy("leaf", key, "field", "start", "n_terms").agg(F.count("*").alias("have")).where("have = n_terms")
+        tf = tf.unionByName(whole.select("leaf", key, F.element_at(weight, F.col("field")).alias("f")))
+    tf = tf.groupBy("leaf", key).agg(F.sum("f").alias("f"))
+    matches = tf.groupBy("leaf").agg(F.count("*").cast("double").alias("n_match"))
     corpus = lengths.agg(F.count("*").cast("double").alias("n_rows"), F.avg("n_tokens").alias("avg_tokens"))
-    scored = tf.join(F.broadcast(matches), ["pass_id", "leaf"]).join(lengths, key).join(F.broadcast(corpus), F.lit(True))  # a row for each leaf; one row
+    scored = tf.join(F.broadcast(matches), "leaf").join(lengths, key).join(F.broadcast(corpus), F.lit(True))  # a row for each leaf; one row
     idf = F.log((F.col("n_rows") - F.col("n_match") + 0.5) / (F.col("n_match") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
-    flat = scored.withColumn("part", part).groupBy("pass_id", key).agg((-F.sum("part")).alias("score"), F.collect_set("leaf").alias("have"))
+    used = F.broadcast(spark.createDataFrame(uses, "pass_id string, number int, leaf int"))
+    flat = scored.select("leaf", key, part.alias("part")).join(used, "leaf").groupBy("pass_id", key).agg((-F.sum("part")).alias("score"), F.collect_set("number").alias("have"))
     cases = [F.when(F.col("pass_id") == p, _holds(shape[p], iter(range(len(leaves(shape[p])))))) for p in shape]
     limit = F.create_map(*[F.lit(x) for p, _, n in passes for x in (p, n)])
     order = Window.partitionBy("pass_id").orderBy(F.round("score", 9), key)
@@ -157,14 +162,12 @@ def like_search(rows: DataFrame, text: str, limit: int, fields: tuple[str, ...]
 
 def like_search_many(rows: DataFrame, wanted: list[tuple[str, str, int]], key: str = "chunk_id", fields: tuple[str, ...] = LIKE_FIELDS, order: str = "ordinal_in_document") -> DataFrame:
     """like_search() for (id, text, limit) triples in one scan: (id, key, rank)."""
-    patterns = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(f"%{t}%").alias("pattern"), F.lit(n).alias("limit")) for i, t, n in wanted])
-
-    def hit(p: Column) -> Column:
-        out = F.lit(False)
+    cases = []
+    for i, t, n in wanted:  # literal patterns, each compiled once
+        hit = F.lit(False)
         for f in fields:
-            out = out | F.coalesce(F.call_function("ilike", F.col(f), p["pattern"]), F.lit(False))
-        return out
-
-    found = rows.select(key, order, F.explode(F.filter(patterns, hit)).alias("p")).select("p.id", "p.limit", key, order).distinct()
+            hit = hit | F.coalesce(F.col(f).ilike(f"%{t}%"), F.lit(False))
+        cases.append(F.when(hit, F.struct(F.lit(i).alias("id"), F.lit(n).alias("limit"))))
+    found = rows.select(key, order, F.explode(F.array_compact(F.array(*cases))).alias("p")).select("p.id", "p.limit", key, order).distinct()
     w = Window.partitionBy("id").orderBy(order, key)
     return found.withColumn("rank", F.row_number().over(w)).where("rank <= limit").select("id", key, "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundsearch.functions import text as T
-from groundsearch.operators import corpus, facts, features, planner, recall, segment, vocabulary
+from groundsearch.operators import corpus, facts, features, fulltext, planner, recall, segment, vocabulary
 from groundsearch.operators.answer import Assistant
 from groundsearch.sources import readers, synthetic
 from groundsearch.sources.scratch import stored
@@ -275,7 +275,9 @@ def _retriever(spark, sf_dir):
     c = _chunks(spark, sf_dir)
     made = corpus.derive_from_chunks(c)
     kept = {k: stored(v, k) for k, v in made.items()}
-    _KEPT[key] = recall.Retriever(c, kept["features"], kept["embeddings"], kept["facts"], stored(_pages(spark, sf_dir), "pages"))
+    fields = list(fulltext.FEATURE_WEIGHTS)
+    index = stored(fulltext.postings(kept["features"], "chunk_id", fields), "postings"), stored(fulltext.doc_lengths(kept["features"], "chunk_id", fields), "lengths")
+    _KEPT[key] = recall.Retriever(c, kept["features"], kept["embeddings"], kept["facts"], stored(_pages(spark, sf_dir), "pages"), index)
     return _KEPT[key]
 
 
