@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundsearch.llm.common import arrow_batches
+from groundsearch.llm.common import arrow_batches, written
 
 #: Pages of a host that its wrapper is inferred from; wrappers that a worker keeps at hand; pages that must agree on a template's words.
 PAGES, KEPT, AGREE = 24, 256, 3
+#: Bytes of all wrappers up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -313,13 +315,17 @@ def host_wrappers(pages: DataFrame, most: int = PAGES) -> DataFrame:
 def extract_pages(pages: DataFrame, most: int = PAGES) -> DataFrame:
     """The columns of pages (url, html, any others) without html, and text and n_chars (its code points), a row for each page.
 
-    Wrappers join their pages by host, and each page is read along its wrapper. A null html is an empty page, whose text is empty; a null
+    Wrappers join their pages by host, and each page is read along its wrapper. They are written once and measured: up to BROADCAST_BYTES
+    they go to the pages, so that no page moves; beyond, both sides are shuffled by host, and a hot host is split by skew handling. A null html is an empty page, whose text is empty; a null
     url or one without a host has no wrapper, and the page is taken by itself. An empty table gives no rows.
     """
     names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     base = pages.select(*names, F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("x_host"))
     wrappers = host_wrappers(base.select(F.col("x_host").alias("host"), F.col("url").cast("string").alias("url"), "html"), most).withColumnsRenamed({"host": "w_host", "wrapper": "x_wrapper"})
-    joined = base.join(wrappers, F.col("x_host") == F.col("w_host"), "left").select(*names, "html", "x_host", "x_wrapper")
+    wrappers = written(wrappers, "wrappers")
+    size = wrappers.agg(F.sum(F.length("w_host") + F.length("x_wrapper"))).first()[0] or 0
+    side = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
+    joined = base.join(side, F.col("x_host") == F.col("w_host"), "left").select(*names, "html", "x_host", "x_wrapper")
     arrow_batches(pages.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name in names)
 

@@ -56,6 +56,11 @@ def test_operator_rows(spark):
     by = {r.page_id: r.text for r in got}
     assert all(by[n] == want(n) for n in range(12)) and by[20] == "alone" and by[21] == "" and by[22].count("\n") == 8999
     assert X.extract_pages(df.limit(0)).count() == 0
+    try:
+        X.BROADCAST_BYTES, most = 0, X.BROADCAST_BYTES
+        assert {(r.page_id, r.text) for r in X.extract_pages(df).collect()} == {(r.page_id, r.text) for r in got}
+    finally:
+        X.BROADCAST_BYTES = most
 
 
 def test_query_against_the_known_template(spark, sf):
