@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import asdict
 
@@ -110,6 +111,47 @@ def covering_citations(citations: Column, most: int = 5) -> Column:
     return F.aggregate(citations, start, step, lambda a: a["kept"])
 
 
+def context_enrichment(chunks: DataFrame, primary: DataFrame, radius: int = 2, most: int = 6) -> DataFrame:
+    """(chunk_id, other, role, position) for primary chunks (chunk_id, document_id, ordinal_in_document, chunk_type): the parent, the chunk
+    itself, neighbours in document order, and for a section its first children; each chunk once, `most` of them."""
+    near = C.neighbours(chunks, primary, radius).where("distance <> 0")
+    kids = C.children(chunks, 6).join(primary.where("chunk_type = 'section'").select("chunk_id"), "chunk_id", "left_semi")
+    parts = (
+        C.parents(chunks).join(primary.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "other", F.lit("parent").alias("role"), F.lit(0).alias("at")),
+        primary.select("chunk_id", F.col("chunk_id").alias("other"), F.lit("primary").alias("role"), F.lit(1).alias("at")),
+        near.select("chunk_id", "other", F.lit("neighbour").alias("role"), (F.col("distance") + 20).alias("at")),
+        kids.select("chunk_id", "other", F.lit("child").alias("role"), (F.col("rank") + 50).alias("at")),
+    )
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    first = every.join(chunks.select(F.col("chunk_id").alias("other")), "other", "left_semi").groupBy("chunk_id", "other").agg(F.min_by("role", "at").alias("role"), F.min("at").alias("at"))
+    w = Window.partitionBy("chunk_id").orderBy("at", "other")
+    return first.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).drop("at")
+
+
+def with_parents(ranked: DataFrame, chunks: DataFrame, most: int = 5, of_first: int = 6) -> DataFrame:
+    """(question_id, chunk_id, position): ranked chunks (question_id, chunk_id, rank), then the parents of the first `of_first` that are not
+    among them, `most` in all."""
+    up = ranked.where(F.col("rank") <= of_first).join(C.parents(chunks), "chunk_id").select("question_id", F.col("other").alias("chunk_id"), (F.col("rank") + 100_000).alias("rank"))
+    every = ranked.select("question_id", "chunk_id", "rank").unionByName(up).groupBy("question_id", "chunk_id").agg(F.min("rank").alias("rank"))
+    w = Window.partitionBy("question_id").orderBy("rank", "chunk_id")
+    return every.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).select("question_id", "chunk_id", "position")
+
+
+def trace(plans: dict[str, Plan], candidates: DataFrame, merged: DataFrame, bundles: DataFrame) -> DataFrame:
+    """(question_id, plan, recall_sources, merged_ranking, bundles): how each question's evidence was found; plan as JSON, recall_sources a
+    map from source to its best chunks. Full-text hits of the question and of the plan's hints are sources of their own."""
+    group = F.when(F.col("source").startswith("hint:"), "planner_hints").otherwise(F.col("source"))
+    top = per_source_top(candidates.withColumn("source", group).groupBy("question_id", "source", "chunk_id").agg(F.max("score").alias("score")))
+    listed = top.groupBy("question_id", "source").agg(F.array_sort(F.collect_list(F.struct("source_rank", "chunk_id", "score"))).alias("hits"))
+    sources = listed.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("source", "hits"))).alias("recall_sources"))
+    ranking = merged.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score", "sources"))).alias("merged_ranking"))
+    found = bundles.where("is_primary").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("bundle_rank", F.col("primary_id").alias("chunk_id"), "bundle_score", "confidence"))).alias("bundles"))
+    asked = candidates.sparkSession.createDataFrame([(q, json.dumps(asdict(p))) for q, p in plans.items()], "question_id string, plan string")
+    return asked.join(sources, "question_id", "left").join(ranking, "question_id", "left").join(found, "question_id", "left")
+
+
 # --- scoring of a chunk for a plan: a few hundred pairs for each question, in Arrow batches -----------------------------------------
 def score_row(p: Plan, row: dict, lexical: float, semantic: float, bonus: float = 0.0) -> float:
     """The score of a chunk (with its features) for a plan: a sum of rules on heading, parent heading, body and tags."""

@@ -268,6 +268,29 @@ def metadata_upsert(spark, sf_dir):
     return corpus.upsert(n.select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value")), new.union(spark.createDataFrame([("x", "new")], "key string, value string")), "key")
 
 
+@query(
+    f"""WITH {_TURNS}, e AS (SELECT a.chunk_id, b.chunk_id AS other, 'parent' AS role, 0 AS place FROM t a JOIN t b ON a.parent = b.chunk_id UNION ALL SELECT chunk_id, chunk_id, 'primary', 1 FROM t
+ UNION ALL SELECT a.chunk_id, b.chunk_id, 'neighbour', b.o - a.o + 20 FROM t a JOIN t b ON a.document_id = b.document_id AND a.o <> b.o AND b.o BETWEEN a.o - 2 AND a.o + 2
+ UNION ALL SELECT p.chunk_id, c.chunk_id, 'child', c.r + 50 FROM t p JOIN (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY o, chunk_id) AS r FROM t WHERE parent IS NOT NULL) c ON c.parent = p.chunk_id WHERE p.chunk_type = 'section' AND c.r <= 6),
+ f AS (SELECT chunk_id, other, arg_min(role, place) AS role, min(place) AS place FROM e GROUP BY 1, 2)
+ SELECT chunk_id, other, role, position FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY place, other)::BIGINT AS position FROM f) WHERE position <= 6"""
+)
+def context_enrichment(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    out = recall.context_enrichment(t, t.select("chunk_id", "document_id", "ordinal_in_document", "chunk_type"))
+    return out.select("chunk_id", "other", "role", F.col("position").cast("long").alias("position"))
+
+
+@query(
+    f"WITH {_TURNS}, r AS (SELECT document_id AS question_id, chunk_id, o + 1 AS rank, parent FROM t), e AS (SELECT question_id, chunk_id, rank FROM r UNION ALL SELECT question_id, parent, rank + 100000 FROM r WHERE rank <= 6 AND parent IS NOT NULL),"
+    " m AS (SELECT question_id, chunk_id, min(rank) AS rank FROM e GROUP BY 1, 2) SELECT question_id, chunk_id, position FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, chunk_id)::BIGINT AS position FROM m) WHERE position <= 5"
+)
+def citations_with_parents(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    ranked = t.select(F.col("document_id").alias("question_id"), "chunk_id", (F.col("ordinal_in_document") + 1).alias("rank"))
+    return recall.with_parents(ranked, t).select("question_id", "chunk_id", F.col("position").cast("long").alias("position"))
+
+
 def _retriever(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir, "retriever")
     if key in _KEPT:
@@ -290,6 +313,15 @@ def recall_candidates(spark, sf_dir):
     return recall.merge(r.candidates({k: planner.plan(q) for k, q in QUESTIONS.items()})).select("question_id", "chunk_id", "score", F.array_join("sources", ",").alias("sources"), "rank")
 
 
+@query()
+def retrieval_trace(spark, sf_dir):
+    r, plans = _retriever(spark, sf_dir), {k: planner.plan(QUESTIONS[k]) for k in ("q1", "q3")}
+    found = stored(r.candidates(plans), "candidates")
+    merged = recall.merge(found, spark.createDataFrame([(k, planner.KEEP_MERGED) for k in plans], "question_id string, keep int"))
+    t = recall.trace(plans, found, merged, r.bundles(plans, merged))
+    return t.select("question_id", "plan", F.to_json("recall_sources").alias("recall_sources"), F.to_json("merged_ranking").alias("merged_ranking"), F.to_json("bundles").alias("bundles"))
+
+
 @query()
 def answers_batch(spark, sf_dir):
     return Assistant(_retriever(spark, sf_dir)).ask_batch(QUESTIONS).select("question_id", "text", "mode", "refused", "n_citations")
