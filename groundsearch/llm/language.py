@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from groundsearch.llm.common import arrow_batches, documents
 
 #: Labelled rows that a model is fitted on, for each language; words of a language that it sees, commonest first.
-ROWS, WORDS = 1500, 20000
+ROWS, WORDS, SHARES = 1500, 20000, 16
 #: Longest piece in characters; words that a worker remembers.
 PIECE, CACHE = 10, 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -125,12 +125,15 @@ def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = 4, smooth:
 def train(docs: DataFrame, held_out, rows: int = ROWS, words: int = WORDS, pieces: list[str] | None = None) -> Model | None:
     """A model of the languages in docs (doc_id, text, lang), from at most `rows` rows of each that are not held out; None if there are none.
 
-    Rows are taken by a hash of doc_id; their words are counted on the executors, and of each language's words the commonest `words` go to
+    Rows are taken by a hash of doc_id, an equal number from each of SHARES parts of a language, so that a language with most of the rows is
+    several tasks; their words are counted on the executors, and of each language's words the commonest `words` go to
     the driver: both bounds are parameters and don't grow with the table.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select("doc_id", "lang").distinct()
+    share = max(1, rows // SHARES)
+    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)).alias("share")).distinct()
+    order = Window.partitionBy("lang", "share").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= share).select("doc_id", "lang")
     sample = known.join(F.broadcast(ids), ["doc_id", "lang"])  # at most `rows` for each language
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     counted = sample.select("lang", word.alias("word")).groupBy("lang", "word").count()
