@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op8_quality": quality.OP8_SQL,
-    "op9_language": language.op9_language,
     "op10_licenses": licenses.op10_sql(),
 }
