@@ -8,13 +8,16 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundsearch.llm.common import arrow_batches, written
 
-#: Pages of a host that its wrapper is inferred from; wrappers that a worker keeps at hand; pages that must agree on a template's words.
-PAGES, KEPT, AGREE = 24, 256, 3
+#: Wrappers that a worker keeps at hand; pages that must agree on a template's words.
+KEPT, AGREE = 256, 3
+#: Characters of expressions that a worker merges before it hands on what it has; words longer than WORDS characters travel as a digest.
+MERGED, WORDS = 16 << 20, 32
 #: Bytes of all wrappers up to which they are broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -138,15 +141,17 @@ def parse(html: str) -> Node:
 
 class Wrapper:
     """A union-free expression: an element with its kids in order, each of which may be optional, repeated, or part of a repeated group;
-    a text is constant (its words) or a slot (None). mass, link and pages are characters and pages seen."""
+    a text is constant (its words) or a slot (None). mass, link and pages are characters and pages seen. keep and inside are label()'s."""
 
-    __slots__ = ("sig", "opt", "plus", "group", "words", "kids", "mass", "link", "pages", "keep")
+    __slots__ = ("sig", "opt", "plus", "group", "words", "kids", "mass", "link", "pages", "keep", "inside")
 
     def __init__(self, sig, opt=False, plus=False, group=0, words=None, kids=(), mass=0, link=0, pages=1):
         self.sig, self.opt, self.plus, self.group, self.words, self.kids, self.mass, self.link, self.pages, self.keep = sig, opt, plus, group, words, list(kids), mass, link, pages, False
+        self.inside = False
 
     def dump(self):
-        return [self.sig, int(self.opt), int(self.plus), self.group, self.words, [k.dump() for k in self.kids], self.mass, self.link, self.pages]
+        words = self.words if self.words is None or len(self.words) <= WORDS else xxhash.xxh3_128_hexdigest(self.words.encode("utf-8", "surrogatepass"))
+        return [self.sig, int(self.opt), int(self.plus), self.group, words, [k.dump() for k in self.kids], self.mass, self.link, self.pages]
 
     @classmethod
     def load(cls, x):
@@ -218,6 +223,7 @@ def label(w: Wrapper) -> None:
 
     The article is the smallest article or main element that has half the text of the largest; without one, the path is followed downwards
     while a single kid has most of the text that is neither a link nor the template's own words. Excluded elements have no text here.
+    Ties are broken by depth and signature, so the order in which pages were merged doesn't matter.
     """
 
     def fixed(t: Wrapper) -> bool:
@@ -230,23 +236,23 @@ def label(w: Wrapper) -> None:
 
     marked = []
 
-    def find(x: Wrapper):
+    def find(x: Wrapper, path: tuple):
         if "!" not in x.sig:
             if "@" in x.sig:
-                marked.append(x)
+                marked.append((mass(x, True), -len(path), path, x))
             for k in x.kids:
-                find(k)
+                find(k, (*path, k.sig))
 
-    find(w)
-    most = max((mass(x, True) for x in marked), default=0)
+    find(w, ())
+    most = max((m for m, *_ in marked), default=0)
     inside = most > 0
     if inside:
-        region = [x for x in marked if 2 * mass(x, True) >= most][-1]
+        region = min((x for x in marked if 2 * x[0] >= most), key=lambda x: x[:3])[3]
     else:
         region = w
         while True:
             total = mass(region, False)
-            best = max((k for k in region.kids if k.sig != "#" and not k.plus), key=lambda k: mass(k, False), default=None)
+            best = max((k for k in region.kids if k.sig != "#" and not k.plus), key=lambda k: (mass(k, False), k.sig), default=None)
             if best is None or not total or mass(best, False) < 0.7 * total or best.sig.split(".")[0] == "p":
                 break
             region = best
@@ -255,6 +261,7 @@ def label(w: Wrapper) -> None:
         if x.sig == "#":
             x.keep = inside or not (fixed(x) or 2 * x.link > x.mass)
         elif "!" not in x.sig:
+            x.inside = True
             for k in x.kids:
                 mark(k)
 
@@ -263,7 +270,7 @@ def label(w: Wrapper) -> None:
 
 def extract(page: Node, wrapper: Wrapper) -> list[str]:
     """The article's blocks in page order. The page is read along the wrapper; a part that the wrapper doesn't know follows its parent:
-    it belongs to the article if the texts around it do."""
+    it belongs to the article if its parent lies in the region that label() chose, or the texts around it belong to the article."""
     out: list[str] = []
 
     def has(w: Wrapper) -> bool:
@@ -277,9 +284,9 @@ def extract(page: Node, wrapper: Wrapper) -> list[str]:
                 if (own.keep if own else unknown) and (not header or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")):
                     out.append(k.text)
             elif not k.out:
-                walk(k, own, unknown if own is None else w is not None and has(own) and "@" in own.sig or (unknown and has(own)), header or k.tag == "header")
+                walk(k, own, unknown if own is None else own.inside or w is not None and has(own) and "@" in own.sig or (unknown and has(own)), header or k.tag == "header")
 
-    walk(page, wrapper, False, False)
+    walk(page, wrapper, wrapper.inside, False)
     return out
 
 
@@ -296,23 +303,57 @@ def host_of(url):
     return F.when(found != "", found)
 
 
-def host_wrappers(pages: DataFrame, most: int = PAGES) -> DataFrame:
-    """(host, wrapper) for each host of pages (host, url, html): inferred from at most `most` pages of different content, by hash order.
+def host_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper) for each host of pages (host, html): inferred from all its pages.
 
-    The limit is applied within each input partition before the shuffle, so a host with a third of all pages sends a few from each task.
+    Every page becomes an expression where it is read; expressions, not pages, are shuffled. They are merged in two steps, in parts that
+    each hold some pages of many hosts, and then the parts of a host, so a host with a third of all pages gives a few rows to its last task.
     """
-    order = Window.partitionBy("host").orderBy(F.xxhash64("html"), "url")
-    sample = pages.where(F.col("host").isNotNull() & F.col("html").isNotNull()).select("host", "url", "html")
-    sample = sample.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("host", "html")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(set(pdf.html))
-        return pd.DataFrame({"host": [pdf.host.iloc[0]], "wrapper": [json.dumps(infer([parse(t) for t in texts]).dump())]})
-
-    return sample.groupBy("host").applyInPandas(run, "host string, wrapper string")
+    arrow_batches(pages.sparkSession)
 
+    def express(batches):
+        for batch in batches:
+            hosts, digests, dumped, seen = [], [], [], set()
+            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                digest = xxhash.xxh3_128_digest(f"{host} {html}".encode("utf-8", "surrogatepass"))
+                if digest not in seen:
+                    seen.add(digest)
+                    hosts.append(host)
+                    digests.append(digest)
+                    dumped.append(json.dumps(wrap(parse(html)).dump()))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(dumped, pa.string())], ["host", "digest", "wrapper"])
+
+    def parts(batches):
+        merged: dict[str, Wrapper] = {}
+        size = 0
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(list(merged), pa.string()), pa.array([json.dumps(w.dump()) for w in merged.values()], pa.string())], ["host", "wrapper"])
 
-def extract_pages(pages: DataFrame, most: int = PAGES) -> DataFrame:
+        for batch in batches:
+            for host, dumped in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+                w = Wrapper.load(json.loads(dumped))
+                merged[host] = merge(merged[host], w) if host in merged else w
+                size += len(dumped)
+                if size > MERGED:
+                    yield done()
+                    merged.clear()
+                    size = 0
+        yield done()
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = None
+        for dumped in pdf.wrapper:
+            w = Wrapper.load(json.loads(dumped))
+            out = w if out is None else merge(out, w)
+        return pd.DataFrame({"host": [pdf.host.iloc[0]], "wrapper": [json.dumps(out.dump())]})
+
+    single = pages.where(F.col("host").isNotNull() & F.col("html").isNotNull()).select("host", "html").mapInArrow(express, "host string, digest binary, wrapper string")
+    single = single.select("host", "wrapper")
+    return single.mapInArrow(parts, "host string, wrapper string").groupBy("host").applyInPandas(whole, "host string, wrapper string")
+
+
+def extract_pages(pages: DataFrame) -> DataFrame:
     """The columns of pages (url, html, any others) without html, and text and n_chars (its code points), a row for each page.
 
     Wrappers join their pages by host, and each page is read along its wrapper. They are written once and measured: up to BROADCAST_BYTES
@@ -321,7 +362,7 @@ def extract_pages(pages: DataFrame, most: int = PAGES) -> DataFrame:
     """
     names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     base = pages.select(*names, F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("x_host"))
-    wrappers = host_wrappers(base.select(F.col("x_host").alias("host"), F.col("url").cast("string").alias("url"), "html"), most).withColumnsRenamed({"host": "w_host", "wrapper": "x_wrapper"})
+    wrappers = host_wrappers(base.select(F.col("x_host").alias("host"), "html")).withColumnsRenamed({"host": "w_host", "wrapper": "x_wrapper"})
     wrappers = written(wrappers, "wrappers")
     size = wrappers.agg(F.sum(F.length("w_host") + F.length("x_wrapper"))).first()[0] or 0
     side = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers

@@ -63,6 +63,26 @@ def test_operator_rows(spark):
         X.BROADCAST_BYTES = most
 
 
+def test_parts_that_few_pages_of_a_host_have_stay(spark):
+    """200 pages of a plain layout; each rare element stands in one of them."""
+    rare = ["<blockquote>Quoted in {n} only</blockquote>", "<table><tr><td>Cell of {n}</td></tr></table>", "<pre>Code of {n}</pre>", "<h4>Head of {n}</h4>", '<div class="inset">Inset of {n}</div>']
+    at = {n: r.format(n=n) for n, r in zip(range(40, 200, 40), rare, strict=False)} | {33: rare[4].format(n=33)}
+    body = "<h1>Title {n}</h1>" + "".join(f"<p>Paragraph {i} of page {{n}}, long enough to be text.</p>" for i in range(3)) + "{rare}<p>Last words of page {n}.</p>"
+    rows = [(n, f"http://plain.example/{n}", BASE.format(body=body.format(n=n, rare=at.get(n, "")), n=n)) for n in range(200)]
+    got = {r.page_id: r.text for r in X.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    for n in range(200):
+        lines = [f"Title {n}", *(f"Paragraph {i} of page {n}, long enough to be text." for i in range(3)), f"Last words of page {n}."]
+        if n in at:
+            lines.insert(4, re.sub("<[^>]*>", "", at[n]))
+        assert got[n] == "\n".join(lines)
+
+
+def test_unknown_part_of_a_plain_layout_follows_its_region():
+    w = X.infer([X.parse(page(n)) for n in range(5)])
+    other = page(7).replace("</h1>", "</h1><blockquote>Said once</blockquote>").replace("<form>", "<section>Offers</section><form>")
+    assert X.main_text(other, w) == want(7).replace("Title 7\n", "Title 7\nSaid once\n")
+
+
 def test_query_against_the_known_template(spark, sf):
     """The pages of the tables have an <article> and nothing of others' in it: its blocks, by plain string work."""
     src = {p.page_id: p.html for p in spark.read.parquet(f"{sf}/pages.parquet").collect()}
