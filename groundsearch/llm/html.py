@@ -304,16 +304,18 @@ def host_of(url):
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) for each host of pages (host, html): inferred from all its pages.
+    """(host, wrapper) for each host of pages (host, html): inferred from all its pages of different content.
 
-    Every page becomes an expression where it is read; expressions, not pages, are shuffled. They are merged in two steps, in parts that
+    Every page becomes an expression where it is read; expressions, not pages, are shuffled. Copies of a page on one host count once: they
+    go where they are read, and what is left of them by the digest of host and page. The expressions are merged in two steps, in parts that
     each hold some pages of many hosts, and then the parts of a host, so a host with a third of all pages gives a few rows to its last task.
     """
     arrow_batches(pages.sparkSession)
 
     def express(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            hosts, digests, dumped, seen = [], [], [], set()
+            hosts, digests, dumped = [], [], []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 digest = xxhash.xxh3_128_digest(f"{host} {html}".encode("utf-8", "surrogatepass"))
                 if digest not in seen:
@@ -349,7 +351,7 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": [pdf.host.iloc[0]], "wrapper": [json.dumps(out.dump())]})
 
     single = pages.where(F.col("host").isNotNull() & F.col("html").isNotNull()).select("host", "html").mapInArrow(express, "host string, digest binary, wrapper string")
-    single = single.select("host", "wrapper")
+    single = single.dropDuplicates(["digest"]).select("host", "wrapper")
     return single.mapInArrow(parts, "host string, wrapper string").groupBy("host").applyInPandas(whole, "host string, wrapper string")
 
 

@@ -77,6 +77,19 @@ def test_parts_that_few_pages_of_a_host_have_stay(spark):
         assert got[n] == "\n".join(lines)
 
 
+def test_copies_of_a_page_count_once(spark):
+    """A host of two pages, one of which comes 40 times over all partitions: its words are no template's."""
+    body = "<h1>Title {n}</h1>" + "".join(f"<p>Paragraph {i} of page {{n}}, long enough to be text.</p>" for i in range(3))
+    pages = [BASE.format(body=body.format(n=1) + "<blockquote>Only in the copies, a long quotation of somebody</blockquote>", n=1), BASE.format(body=body.format(n=2), n=2)]
+    rows = [(n, "http://copies.example/1", pages[0]) for n in range(40)] + [(40, "http://copies.example/2", pages[1])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few = df.where("page_id >= 39").coalesce(1)
+    want_ = {r.url: r.text for r in X.extract_pages(few).collect()}
+    assert "Only in the copies, a long quotation of somebody" in want_["http://copies.example/1"]
+    for n in (1, 5, 16):
+        assert all(r.text == want_[r.url] for r in X.extract_pages(df.repartition(n)).collect())
+
+
 def test_unknown_part_of_a_plain_layout_follows_its_region():
     w = X.infer([X.parse(page(n)) for n in range(5)])
     other = page(7).replace("</h1>", "</h1><blockquote>Said once</blockquote>").replace("<form>", "<section>Offers</section><form>")
