@@ -22,13 +22,16 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one whose doc_id names the group.
 
-    Of rows that repeat that doc_id one stays; rows without a doc_id stay only as the single row of a group that has no other.
+    Of rows of the group that repeat that doc_id one stays; rows without a doc_id stay only as the single row of a group that has no other.
+    A row is known by its doc_id and a hash of its text, as a doc_id may come with several texts, or be null in many rows.
     """
-    groups = simhash.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "fp", "component_id")
-    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fp").alias("fp"))
-    kept = docs.select(*COLUMNS).join(heads.select(F.col("doc_id").alias("h")), F.col("doc_id").eqNullSafe(F.col("h"))).drop("h")
-    # a doc_id that comes twice is rare: the window's partitions are single rows
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source")
+    version = F.xxhash64(F.col("text").cast("string"))
+    groups = simhash.grouped(docs.select("doc_id", "text", version.alias("version")))
+    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("h"), F.min("version").alias("h_version"))
+    here = F.col("doc_id").eqNullSafe(F.col("h")) & (F.col("version") == F.col("h_version"))
+    kept = docs.select(*COLUMNS, version.alias("version")).join(heads.select("h", "h_version"), here).drop("h", "h_version")
+    # rows equal in doc_id and text are rare: the window's partitions are single rows
+    first = Window.partitionBy("doc_id", "version").orderBy(F.col("text").isNull(), "source", "lang", "n_chars")
     return kept.withColumn("k", F.row_number().over(first)).where("k = 1").select(*COLUMNS)
 
 

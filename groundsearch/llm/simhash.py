@@ -120,14 +120,15 @@ def fingerprint_links(values: DataFrame, radius: int = 4, bucket: int = BUCKET,
 
 
 def with_fingerprint(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp int64) of every row, computed once from the whole text and kept in the shared folder."""
+    """(doc_id, fp int64), and the other columns, of every row, computed once from the whole text and kept in the shared folder."""
+    names = [c for c in docs.columns if c not in ("text", "fp")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, words) for t in utf8(batch, "text")], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps)], [*names, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, fp long"), "simhash")
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return written(map_arrow(docs.select(*names, F.col("text").cast("string").alias("text")), run, f"{schema}, fp long"), "simhash")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
@@ -138,14 +139,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket: in
     fingerprint 0, linked like any other. Null doc_ids are left out of the smallest id (null only if the whole component has none).
     Repeated rows get one result row each; an empty table gives an empty result.
     """
+    return grouped(docs.select("doc_id", "text"), words, radius, bucket).select("doc_id", "fp", "component_id")
+
+
+def grouped(docs: DataFrame, words: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
+    """near_duplicates() with the other columns of docs, which should be narrow, and root: the group's smallest fingerprint, which names it
+    also where several groups have one component_id or none has an id."""
     fps = with_fingerprint(docs, words)
     n = fps.count()  # from the table's footers
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(fingerprint_links(nodes.select("fp"), radius, bucket, n), rows=n).withColumnsRenamed({"node": "fp"})
     joined = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = joined.join(first, "root").select("fp", "component_id")
-    return fps.join(linked, "fp").select("doc_id", "fp", "component_id")
+    linked = joined.join(first, "root").select("fp", "root", "component_id")
+    return fps.join(linked, "fp")
 
 
 def op1_simhash(spark, sf_dir):

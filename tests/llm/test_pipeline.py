@@ -63,3 +63,16 @@ def test_run_and_edge_rows(spark, sf, tmp_path):
     total = C.run(spark, sf)
     assert total.count() > 0 and math.isfinite(np.mean([r.length for r in total.collect()]))
     assert mixing and packing and simhash
+
+
+def test_each_group_keeps_a_document_without_or_with_repeated_ids(spark, sf):
+    """Clean different documents without doc_id all stay; a doc_id with two texts stands for each group that it names, and for no other."""
+    text = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(12)]
+    data = [(None, text[k]) for k in range(6)] + [(None, text[0])]  # five groups without ids, and one twice
+    data += [(7, text[6]), (7, text[7]), (3, text[7])]  # 7 is the head of its first text's group only
+    data += [(8, text[8]), (8, text[9])]  # 8 is the head of two groups
+    data += [(None, text[10]), (9, text[10]), (9, text[10]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text or "") for r in C.distinct_documents(spark, docs, sf).collect()), key=str)
+    want = [(None, text[k]) for k in range(6)] + [(7, text[6]), (3, text[7]), (8, text[8]), (8, text[9]), (9, text[10]), (None, "")]
+    assert got == sorted(want, key=str)
