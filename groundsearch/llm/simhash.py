@@ -12,8 +12,11 @@ from groundsearch.llm.common import documents, files_for, map_arrow, utf8, writt
 from groundsearch.llm.graph import connected_components
 
 BITS = 64
-#: Buckets with more fingerprints than this are divided again by finer masks.
-BUCKET = 4096
+#: Buckets with more fingerprints than this are divided again by finer masks. As many are compared with numpy in a few seconds, and half a
+#: megabyte; a second division leaves about 16 bits free, so it ends there.
+BUCKET = 1 << 16
+#: Parts of a component that are labelled apart.
+SALT = 16
 
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
@@ -46,10 +49,13 @@ def covering_masks(free: int, radius: int) -> list[int]:
 
     Each free bit gets a vector of radius + 1 bits; for every non-zero vector v there is the mask of the bits whose vector has an odd
     inner product with v. The vectors of at most `radius` differing bits span less than the whole space, so some v is orthogonal to all
-    of them: its mask has none of these bits.
+    of them: its mask has none of these bits. The first bits get the unit vectors, so with more than `radius` free bits the vectors span
+    the space, no v is orthogonal to all of them, and no mask is zero: every mask fixes a bit that was free.
     """
     bits = [i for i in range(BITS) if free >> i & 1]
-    vectors = {b: k % ((2 << radius) - 1) + 1 for k, b in enumerate(bits)}
+    units = [1 << k for k in range(radius + 1)]
+    order = [*units, *(v for v in range(1, 2 << radius) if v not in units)]
+    vectors = {b: order[k % len(order)] for k, b in enumerate(bits)}
     masks = {sum(1 << b for b in bits if (vectors[b] & v).bit_count() & 1) for v in range(1, 2 << radius)}
     return sorted(masks)
 
@@ -78,8 +84,9 @@ def fingerprint_links(values: DataFrame, radius: int = 4, bucket: int = BUCKET,
 
     values: one column `fp` of distinct int64, about `rows` of them. Every fingerprint goes to one bucket per covering mask. Buckets are counted by a partial
     aggregation first: single ones end there, two members are a pair, up to `bucket` members meet in one row and give a spanning forest.
-    Larger ones, as groups of thousands of near copies make, are divided by covering masks over the bits that their own mask left free,
-    and so on until every bucket is small; with at most 12 free bits it is small by itself. No pair is lost at any level.
+    Larger ones, as very large groups of near copies make, are divided by covering masks over the bits that their own mask left free, and
+    so on until every bucket is small. Each division fixes a bit at least, and a bucket of n fingerprints has log2(n) free bits at least, so
+    this ends: with at most `radius` free bits all are linked and are not divided. No pair is lost at any level.
     """
     spark = values.sparkSession
     full = (1 << BITS) - 1
@@ -100,18 +107,20 @@ def fingerprint_links(values: DataFrame, radius: int = 4, bucket: int = BUCKET,
         # members of the buckets that need a closer look
         wide = sizes.where("n > 2").select("path", "fixed", "n")
         members = cells.join(wide, ["path", "fixed"])
-        small = members.where(F.col("n") <= bucket).groupBy("path", "fixed").agg(F.collect_list("fp").alias("fps")).select("fps")
+        whole = [i for i, _, mask in tables if (full & ~(mask % (1 << BITS))).bit_count() <= radius]
+        fine = (F.col("n") <= bucket) | F.col("path").isin(whole) if whole else F.col("n") <= bucket
+        small = members.where(fine).groupBy("path", "fixed").agg(F.collect_list("fp").alias("fps")).select("fps")
 
         def links(batch: pa.RecordBatch) -> pa.RecordBatch:
             pairs = [p for fps in batch.column("fps").to_pylist() for p in near_links(np.array(fps, np.int64), radius)]
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
         found.append(map_arrow(small, links, "a long, b long"))
-        large = wide.where(F.col("n") > bucket)
+        large = wide.where(~fine)
         hot = [r.path for r in large.select("path").distinct().collect()]  # table numbers, not rows: at most as many as there are masks
         if not hot:
             break
-        live = written(members.where(F.col("n") > bucket).select("fp", "path"), "simhash-live")
+        live = written(members.where(~fine).select("fp", "path"), "simhash-live")
         paths = {k: tables[k][2] % (1 << BITS) for k in hot}  # the finer masks keep the fixed bits, so a bucket's rows stay apart from others
     out = found[0]
     for f in found[1:]:
@@ -149,9 +158,11 @@ def grouped(docs: DataFrame, words: int = 4, radius: int = 4, bucket: int = BUCK
     n = fps.count()  # from the table's footers
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(fingerprint_links(nodes.select("fp"), radius, bucket, n), rows=n).withColumnsRenamed({"node": "fp"})
-    joined = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    first = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = joined.join(first, "root").select("fp", "root", "component_id")
+    # fingerprints with links only; a component's label is copied SALT times, so that a large one is several keys
+    joined = roots.join(nodes, "fp").select("fp", "first", "root", F.pmod(F.xxhash64("fp"), F.lit(SALT)).alias("salt"))
+    first = joined.groupBy("root").agg(F.min("first").alias("label")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    linked = joined.join(first, ["root", "salt"]).select("fp", "root", "label")
+    linked = nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("label")).alias("component_id"))
     return fps.join(linked, "fp")
 
 

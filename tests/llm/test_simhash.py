@@ -46,6 +46,36 @@ def test_masks_cover_every_pair_within_the_radius():
             assert any(not diff & m for m in masks)
 
 
+def test_every_mask_fixes_a_bit():
+    """Without this a large bucket would be divided into itself, for ever."""
+    rng = random.Random(5)
+    for n in range(5, 65):
+        free = sum(1 << b for b in rng.sample(range(64), n))
+        assert all(S.covering_masks(free, 4))
+
+
+def test_a_large_group_ends_and_is_whole(spark):
+    """6000 fingerprints that share 50 bits, in buckets of at most 512: many divisions; against union-find over all pairs."""
+    rng = np.random.default_rng(6)
+    fps = np.unique((0x5A5A5A5A5A5A5A5A & ~((1 << 14) - 1) & ((1 << 63) - 1)) | rng.choice(1 << 14, 6000, replace=False).astype(np.int64))
+    from groundsearch.llm.graph import connected_components
+
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    got = {r.node: r.root for r in connected_components(S.fingerprint_links(df, 4, 512, len(fps))).collect()}
+    want, left = {}, set(fps.tolist())
+    while left:
+        todo, group = [left.pop()], []
+        while todo:
+            x = todo.pop()
+            group.append(x)
+            rest = np.fromiter(left, np.int64, len(left))
+            near = rest[np.bitwise_count(rest ^ x) <= 4].tolist()
+            left -= set(near)
+            todo += near
+        want |= dict.fromkeys(group, min(group))
+    assert {int(x): got.get(int(x), int(x)) for x in fps} == want
+
+
 def test_fingerprint_matches_brute_force():
     rng = random.Random(2)
     words = ["Alpha", "beta", "É", "x y", "DELTA", "the"]
