@@ -30,12 +30,54 @@ def test_rules_against_brute_force(spark):
     assert have == sorted(((i, *brute(t)) for i, t, _ in ROWS), key=key)
 
 
+GOOD = " ".join(f"w{i}" for i in range(60))
+
+
+def hosts(counts):
+    """Rows of hosts given as {name: (rows, failing rows)}."""
+    return [(k, "short" if k < bad else GOOD, h) for h, (n, bad) in counts.items() for k in range(n)]
+
+
 def test_host_verdicts(spark):
-    good = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, good, "good") for i in range(30)] + [(100 + i, good if i < 2 else "bad", "bad") for i in range(40)] + [(200, good, "new"), (201, "short", "good")]
-    got = {r.doc_id: r for r in Q.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got[0].kept and got[200].kept and not got[201].kept
-    assert not got[100].kept and not got[100].base_failed and got[100].host_rate > 0.6
+    """Rows that are equal by themselves are kept or not by their host; at least one host is rejected, and small ones are shrunk enough to stay."""
+    rows = hosts({"good": (31, 1), "bad": (40, 38), "new": (1, 0)})
+    got = Q.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", Q.F.col("source")))
+    by = {(r.kept, r.base_failed, round(r.host_rate, 6)) for r in got.collect()}
+    assert {(k, b) for k, b, r in by if r > 0.8} == {(False, True), (False, False)} and {(k, b) for k, b, r in by if r < 0.5} == {(False, True), (True, False)}
+
+
+def test_verdicts_by_the_formula_and_in_sql(spark, tmp_path):
+    """Forty hosts of differing rates and sizes, one with a third of all rows: the verdicts follow the fitted prior, in Python and in SQL."""
+    import math
+    import random
+
+    rng = random.Random(7)
+    counts = {f"h{i}": (n := rng.randint(1, 120), sum(rng.random() < 0.1 for _ in range(n))) for i in range(36)}
+    counts |= {"hot": (1100, 120), "spam": (200, 150), "worse": (60, 58), "tiny": (2, 2)}
+    df = spark.createDataFrame(hosts(counts), "doc_id long, text string, source string")
+    got = {r.host: r for r in Q.host_rates(Q.document_rules(df, "source")).collect()}
+    raw = [b / n for n, b in counts.values()]
+    m = sum(raw) / len(raw)
+    v = sum((x - m) ** 2 for x in raw) / len(raw) - m * (1 - m) * sum(1 / n for n, _ in counts.values()) / len(raw)
+    prior = min(max(m * (1 - m) / v - 1, 2), 1000)
+    limit = min(m + 2 * math.sqrt(m * (1 - m) / (prior + 1)), (1 + m) / 2)
+    for h, (n, bad) in counts.items():
+        rate = (bad + m * prior) / (n + prior)
+        assert abs(got[h].rate - rate) < 1e-9 and abs(got[h].limit - limit) < 1e-9
+        assert got[h].rejected == (rate - 2 * math.sqrt(rate * (1 - rate) / (n + prior + 1)) > limit)
+    assert {h for h, r in got.items() if r.rejected} == {"spam", "worse"}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    out = Q.op8_quality(spark, str(tmp_path))
+    cols = sorted(out.columns)
+    assert sorted(tuple(r[c] for c in cols) for r in out.collect()) == sorted(con.sql(Q.OP8_SQL).select(*cols).fetchall())
+    assert out.where("NOT base_failed AND NOT kept").count() == 52
+
+
+def test_hosts_that_are_all_alike_stay(spark):
+    rows = hosts({f"h{i}": (100, 40 + i % 3) for i in range(12)})
+    assert Q.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("kept <> (NOT base_failed)").count() == 0
 
 
 def test_empty_table(spark):
