@@ -16,34 +16,65 @@ _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: The phrases of the contract and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: License templates as (label, text). [[ ... ]] is optional ([[a|b]]: one of them or none), {{n}} stands for any 0 to n words, everything
-#: else is mandatory wording.
+#: The wording of public licenses and notices, as (label, template). [[ ... ]] is optional ([[a|b]]: one of them or none), {{n}}
+#: stands for any 0 to n words (names, years, addresses), everything else is mandatory. A text is a license only where all its mandatory
+#: wording stands in order: the grant, the conditions and the disclaimer. A ref- label is a statement that names a license.
 TEMPLATES = (
     ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of {{6}} software and associated documentation
         files {{4}} to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
         publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do
-        so, subject to the following conditions [[: The above copyright notice and this permission notice [[(including the next
-        paragraph)]] shall be included in all copies or substantial portions of the Software]]."""),
-    ("mit", "[[released|licensed|distributed|available]] under the [[terms of the]] MIT License"),
-    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
-        provided that the above copyright notice and this permission notice appear in all copies."""),
+        so, subject to the following conditions: The above copyright notice and this permission notice [[(including the next paragraph)]]
+        shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+        KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL {{12}} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+        TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("isc", """Permission to use, copy, modify, [[and/or|and]] distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+        {{12}} ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT
+        SHALL {{12}} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF
+        USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH
+        THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
     ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-        conditions are met: [[1.]] Redistributions of source code must retain the above copyright notice, this list of conditions and the
-        following disclaimer."""),
-    ("bsd", "[[released|licensed|distributed|available]] under the [[2 clause|3 clause|new|simplified]] BSD License"),
-    ("apache-2.0", """Licensed under the Apache License, Version 2.0 [[(the "License")]] [[; you may not use {{6}} except in compliance
-        with the License]]."""),
-    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. [[If a copy of the MPL was not
-        distributed with this file, You can obtain one at {{6}}]]"""),
-    ("gpl-notice", """This program is free software [[: you can|; you may]] redistribute it and/or modify it under the terms of the GNU
-        [[Lesser|Affero|Library]] General Public License as published by the Free Software Foundation"""),
-    ("gpl-notice", """licensed under the [[terms of the]] GNU [[Lesser|Affero|Library]] General Public License [[version 2|version 3]]"""),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
-    ("boost-1.0", "Distributed under the Boost Software License, Version 1.0."),
-    ("zlib", """This software is provided as-is, without any express or implied warranty. In no event will the {{3}} be held liable for any
-        damages arising from the use of this software."""),
-    ("cc-by-nc", "[[licensed|released|distributed]] under [[a|the]] CC BY NC [[4.0|3.0|2.5|2.0]]"),
-    ("cc-licensed", """[[is|are]] licensed under [[a|the]] Creative Commons Attribution [[{{4}}]] [[International|Unported|Generic]] License"""),
+        conditions are met: [[1.|a.]] Redistributions of source code must retain the above copyright notice, this list of conditions and
+        the following disclaimer. [[2.|b.]] Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        [[[[3.|c.]] {{12}} may be used to endorse or promote products derived from this software without specific prior written
+        permission.]] THIS SOFTWARE IS PROVIDED BY {{12}} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {{12}} BE LIABLE FOR
+        ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+        SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+        THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will {{6}} be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+        commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: [[1.]] The origin of
+        this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a
+        product, an acknowledgment in the product documentation would be appreciated but is not required. [[2.]] Altered source versions
+        must be plainly marked as such, and must not be misrepresented as being the original software. [[3.]] This notice may not be
+        removed or altered from any source distribution."""),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this {{3}} except in compliance with the
+        License. You may obtain a copy of the License at {{10}} Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+        implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at"""),
+    ("gpl-notice", """is free software [[: you can|; you may]] redistribute it and/or modify it under the terms of the GNU
+        [[Lesser|Affero|Library]] General Public License as published by the Free Software Foundation [[, either|;]] version {{3}} of the
+        License [[, or (at your option) any later version]]"""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means."""),
+    ("boost-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit
+        the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do
+        so, all subject to the following"""),
+    ("ref-mit", "[[released|licensed|distributed|available]] under the [[terms of the]] MIT License"),
+    ("ref-bsd", "[[released|licensed|distributed|available]] under the [[2 clause|3 clause|new|simplified]] BSD License"),
+    ("ref-apache", "[[released|licensed|distributed|available]] under the [[terms of the]] Apache License [[, Version 2.0]]"),
+    ("ref-boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("ref-gpl", "licensed under the [[terms of the]] GNU [[Lesser|Affero|Library]] General Public License [[version 2|version 3]]"),
+    ("ref-cc-by-nc", "[[licensed|released|distributed]] under [[a|the]] CC BY NC [[4.0|3.0|2.5|2.0]]"),
+    ("ref-cc", """[[is|are]] licensed under [[a|the]] Creative Commons Attribution {{4}} [[International|Unported|Generic]] License"""),
 )
 
 
@@ -190,7 +221,8 @@ def scan(text: str | None, templates=TEMPLATES) -> dict:
 def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id and the scan of every row's whole text (doc_id, text, any others): no shuffle, one row each; a null text is an empty one.
 
-    score is 1 where a whole license text matches, else 1 - 2^-n for n phrase places. spans are (label, first word, word after the last).
+    score is 1 where a template matches, else 1 - 2^-n for n phrase places. spans are (label, first word, word after the last). Repeated rows
+    give one row each, ties of places can't arise, other columns play no part, and an empty table gives no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
