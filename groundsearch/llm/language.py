@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +15,23 @@ from groundsearch.llm.common import arrow_batches, documents
 
 #: Labelled rows that a model is fitted on, for each language; words of a language that it sees, commonest first.
 ROWS, WORDS, SHARES = 1500, 20000, 16
-#: Longest piece in characters; words that a worker remembers.
-PIECE, CACHE = 10, 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words that a worker remembers.
+CACHE = 200_000
+ALNUM = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
 
 
+def words_of(text: str) -> Counter:
+    """How often each word, a run of letters (Unicode L, as in training), stands in a lower-cased text."""
+    found = Counter(ALNUM.findall(text))
+    for w in [w for w in found if not w.isalpha()]:  # numerals as ² and Ⅳ are no letters, but Python's \w takes them
+        n = found.pop(w)
+        for part in LETTERS.findall(w):
+            found[part] += n
+    return found
+
+
 def vocabulary(path: str | None = None) -> list[str]:
     """The pieces of letters, with or without the word-start mark, of a public sentencepiece model, lower-cased."""
     import sentencepiece
@@ -30,7 +42,7 @@ def vocabulary(path: str | None = None) -> list[str]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if LETTERS.fullmatch(p.replace(START, "", 1)) and len(p) <= PIECE)
+    return sorted(p for p in pieces if LETTERS.fullmatch(p.replace(START, "", 1)))
 
 
 class Model:
@@ -39,71 +51,79 @@ class Model:
     def __init__(self, languages: list[str], pieces: list[str], theta: np.ndarray):
         self.languages, self.pieces, self.theta = languages, pieces, theta  # theta: pieces + 1 rows, a column for each language
         self.index = {p: i for i, p in enumerate(pieces)}
+        self.longest = max(map(len, pieces), default=1)
 
     def _ids(self, words: list[str]) -> np.ndarray:
         """Piece ids of every substring, [word, start, length - 1], of words of one length; -1 where there is none."""
         n, get, none = len(words[0]), self.index.get, len(self.pieces)
-        spans = [(i, k) for i in range(n) for k in range(1, min(PIECE, n - i) + 1)]
+        wide = min(n, self.longest)
+        spans = [(i, k) for i in range(n) for k in range(1, min(wide, n - i) + 1)]
         flat = [get(w[i : i + k], none if k == 1 else -1) for w in words for i, k in spans]
-        out = np.full((len(words), n, PIECE), -1, np.int32)
+        out = np.full((len(words), n, wide), -1, np.int32)
         rows, cols = zip(*((i, k - 1) for i, k in spans), strict=True)
         out[:, rows, cols] = np.array(flat, np.int32).reshape(len(words), -1)
         return out
 
+    def _blocks(self, words: list[str]):
+        """(places, ids) of blocks of words of one length."""
+        by_length = defaultdict(list)
+        for k, w in enumerate(words):
+            by_length[len(w)].append(k)
+        for n, at in by_length.items():
+            step = max(1, 400_000 // (n * min(n, self.longest)))
+            for s in range(0, len(at), step):
+                yield at[s : s + step], self._ids([words[k] for k in at[s : s + step]])
+
     def forward(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """alpha[word, end, language], scaled by its maximum in each column, and the logs of the scales."""
-        count, n, _ = ids.shape
+        count, n, wide = ids.shape
         alpha, logs = np.zeros((count, n + 1, len(self.languages))), np.zeros((count, len(self.languages)))
         alpha[:, 0] = 1
         theta = np.vstack([self.theta, np.zeros(len(self.languages))])  # -1: no such piece
         for j in range(1, n + 1):
-            for i in range(max(0, j - PIECE), j):
+            for i in range(max(0, j - wide), j):
                 alpha[:, j] += alpha[:, i] * theta[ids[:, i, j - i - 1]]
             if j % 16 == 0:  # long words: keep clear of underflow
-                scale = np.maximum(alpha[:, max(0, j - PIECE + 1) : j + 1].max(axis=1), 1e-300)
+                scale = np.maximum(alpha[:, max(0, j - wide + 1) : j + 1].max(axis=1), 1e-300)
                 alpha[:, : j + 1] /= scale[:, None]
                 logs += np.log(scale)
         return alpha, logs
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """log P(word | language) for each word (marked at its start), summed over all its segmentations."""
-        out, by_length = np.empty((len(words), len(self.languages))), defaultdict(list)
-        for k, w in enumerate(words):
-            by_length[len(w)].append(k)
-        for n, at in by_length.items():
-            step = max(1, 400_000 // (n * PIECE))
-            for s in range(0, len(at), step):
-                alpha, logs = self.forward(self._ids([words[k] for k in at[s : s + step]]))
-                out[at[s : s + step]] = np.log(np.maximum(alpha[:, -1], 1e-300)) + logs
+        out = np.empty((len(words), len(self.languages)))
+        for at, ids in self._blocks(words):
+            alpha, logs = self.forward(ids)
+            out[at] = np.log(np.maximum(alpha[:, -1], 1e-300)) + logs
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected counts of each piece under the model, by forward and backward sums; counts: [word, language]."""
-        out, by_length = np.zeros_like(self.theta), defaultdict(list)
-        for k, w in enumerate(words):
-            if len(w) <= 40:  # scales stay 1 over the sum
-                by_length[len(w)].append(k)
+        """Expected counts of each piece under the model, by forward and backward sums; counts: [word, language].
+
+        In words of over 40 letters a piece of k letters is weighed by the word's own P^(-k/n), which leaves the ratios as they are and keeps
+        the sums near 1.
+        """
+        out = np.zeros_like(self.theta)
         theta = np.vstack([self.theta, np.zeros(len(self.languages))])
-        for n, at in by_length.items():
-            step = max(1, 400_000 // (n * PIECE))
-            for s in range(0, len(at), step):
-                ks = at[s : s + step]
-                ids = self._ids([words[k] for k in ks])
-                alpha = np.zeros((len(ks), n + 1, len(self.languages)))
-                beta = np.zeros_like(alpha)
-                alpha[:, 0] = beta[:, n] = 1
-                for j in range(1, n + 1):
-                    for i in range(max(0, j - PIECE), j):
-                        alpha[:, j] += alpha[:, i] * theta[ids[:, i, j - i - 1]]
-                for i in range(n - 1, -1, -1):
-                    for j in range(i + 1, min(n, i + PIECE) + 1):
-                        beta[:, i] += beta[:, j] * theta[ids[:, i, j - i - 1]]
-                weight = counts[ks] / np.maximum(alpha[:, n], 1e-300)
-                for i in range(n):
-                    for j in range(i + 1, min(n, i + PIECE) + 1):
-                        piece = ids[:, i, j - i - 1]
-                        use = piece >= 0
-                        np.add.at(out, piece[use], (alpha[:, i] * beta[:, j] * theta[piece] * weight)[use])
+        for at, ids in self._blocks(words):
+            count, n, wide = ids.shape
+            tilt = np.exp(-self.log_words([words[k] for k in at]) / n) if n > 40 else 1.0
+            weighed = [tilt**k for k in range(wide + 1)]
+            alpha = np.zeros((count, n + 1, len(self.languages)))
+            beta = np.zeros_like(alpha)
+            alpha[:, 0] = beta[:, n] = 1
+            for j in range(1, n + 1):
+                for i in range(max(0, j - wide), j):
+                    alpha[:, j] += alpha[:, i] * theta[ids[:, i, j - i - 1]] * weighed[j - i]
+            for i in range(n - 1, -1, -1):
+                for j in range(i + 1, min(n, i + wide) + 1):
+                    beta[:, i] += beta[:, j] * theta[ids[:, i, j - i - 1]] * weighed[j - i]
+            weight = counts[at] / np.maximum(alpha[:, n], 1e-300)
+            for i in range(n):
+                for j in range(i + 1, min(n, i + wide) + 1):
+                    piece = ids[:, i, j - i - 1]
+                    use = piece >= 0
+                    np.add.at(out, piece[use], (alpha[:, i] * beta[:, j] * theta[piece] * weighed[j - i] * weight)[use])
         return out
 
 
@@ -127,7 +147,8 @@ def train(docs: DataFrame, held_out, rows: int = ROWS, words: int = WORDS, piece
 
     Rows are taken by a hash of doc_id, an equal number from each of SHARES parts of a language, so that a language with most of the rows is
     several tasks; their words are counted on the executors, and of each language's words the commonest `words` go to
-    the driver: both bounds are parameters and don't grow with the table.
+    the driver: both bounds are parameters and don't grow with the table. Rows that repeat a doc_id and language are taken together and
+    counted as often as they stand there, on the executors.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out)
     share = max(1, rows // SHARES)
@@ -146,7 +167,7 @@ def train(docs: DataFrame, held_out, rows: int = ROWS, words: int = WORDS, piece
 
 def score_texts(model: Model, texts: list[str | None], known: dict[str, int], table: list[np.ndarray]) -> list[tuple[str, float]]:
     """(language, posterior probability) of each whole text; known and table are the caller's memory of words and their log probabilities."""
-    counted = [Counter(LETTERS.findall((t or "").lower())) for t in texts]
+    counted = [words_of((t or "").lower()) for t in texts]
     new = list({w for c in counted for w in c if w not in known})
     if new:
         at = len(table[0]) if table else 0
@@ -168,7 +189,8 @@ def score_texts(model: Model, texts: list[str | None], known: dict[str, int], ta
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score of every row's whole text (doc_id, text, any others); no shuffle.
 
-    `und` with score 0 where the text is null or has no letter, or where there is no model. The model (pieces x languages) is broadcast: its
+    `und` with score 0 where the text is null or has no letter, or where there is no model. Of languages with equal probability the first by
+    code point is taken; repeated rows give one row each, other columns play no part, an empty table gives no rows. The model (pieces x languages) is broadcast: its
     size is that of the public vocabulary.
     """
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.languages, model.pieces, model.theta))

@@ -19,7 +19,7 @@ def brute(model, word, lang):
         p = 1.0
         for x in parts:
             i = model.index.get(x, len(model.pieces) if len(x) == 1 else None)
-            p *= 0 if i is None or len(x) > L.PIECE else model.theta[i, col]
+            p *= 0 if i is None else model.theta[i, col]
         total += p
     return total
 
@@ -46,6 +46,34 @@ def test_fit_raises_likelihood():
     assert np.allclose(m_theta(L.fit(counts, pieces)), 1)
 
 
+def test_words_of_over_40_letters_count_in_fitting():
+    """Expected counts of a long word equal those by plain sums, which still hold at this length."""
+    pieces = ["a", "ab", "b", "ba", "bb", "▁", "▁ab", "▁b"]
+    m = L.fit({"x": L.Counter({"abab": 9}), "y": L.Counter({"bba": 7})}, pieces)
+    word = "▁" + "abba" * 12
+    got = m.expected([word], np.ones((1, 2)))
+    n, theta = len(word), np.vstack([m.theta, np.zeros(2)])
+    at = {(i, j): m.index.get(word[i:j], len(pieces) if j == i + 1 else -1) for i in range(n) for j in range(i + 1, min(n, i + 3) + 1)}
+    a, b = np.zeros((n + 1, 2)), np.zeros((n + 1, 2))
+    a[0] = b[n] = 1
+    for j in range(1, n + 1):
+        a[j] = sum(a[i] * theta[at[i, j]] for i in range(max(0, j - 3), j))
+    for i in reversed(range(n)):
+        b[i] = sum(theta[at[i, j]] * b[j] for j in range(i + 1, min(n, i + 3) + 1))
+    want = np.zeros_like(m.theta)
+    for (i, j), p in at.items():
+        if p >= 0:
+            want[p] += a[i] * theta[p] * b[j] / a[n]
+    assert np.allclose(got, want)
+    assert np.isfinite(m.expected(["▁" + "ab" * 3000], np.ones((1, 2)))).all() and m.expected(["▁" + "ab" * 3000], np.ones((1, 2))).sum() > 1000
+
+
+def test_numerals_are_no_letters():
+    m = L.fit({"x": L.Counter({"abab": 9}), "y": L.Counter({"ba": 7})}, ["a", "b", "▁"])
+    assert L.score_texts(m, ["² ½", "① Ⅳ", "12 _", None, ""], {}, []) == [("und", 0.0)] * 5
+    assert L.words_of("a²b x² é") == {"a": 1, "b": 1, "x": 1, "é": 1}
+
+
 def m_theta(m):
     return m.theta.sum(axis=0)
 
