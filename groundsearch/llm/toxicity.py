@@ -125,15 +125,18 @@ def fit(data: list[tuple[list[list[str]], int]], rounds: int = 200, rate: float
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, held_out=None) -> Model | None:
     """A model from at most `rows` labelled documents that are not held out, taken by a hash of doc_id; None if there are none.
 
-    Where several labels have one doc_id the worst counts; null labels are left out. The sample's words, a bounded number of rows, go to
-    the driver, which fits the model.
+    Where several labels have one doc_id the worst counts; null labels are left out. Where several rows have one doc_id, equal or not, the
+    text with the lowest hash stands for it, so no doc_id counts twice and reruns agree. The sample's words, a bounded number of rows, go to
+    the driver, which fits the model; an empty table gives no model.
     """
     held_out = F.coalesce(remainder(4) == 2, F.lit(False)) if held_out is None else held_out
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out)
     taken = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     spark = docs.sparkSession
     arrow_batches(spark)
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(taken), "doc_id").limit(2 * rows)  # `rows` bounds taken
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(taken), "doc_id")  # `rows` bounds taken
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")
+    sample = sample.groupBy("doc_id", "toxic").agg(one).select("doc_id", "toxic", "t.text")
 
     def run(batches):
         for batch in batches:
@@ -152,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, held_out=None) -
 def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     """The columns of docs (text, any others) with score, predicted and offending (start, stop, probability of each offending sentence).
 
-    One row each, no shuffle, whole texts; offsets are code points. A null or empty text, or a missing model, scores 0. Only the model is
+    One row each, repeated rows too, no shuffle, whole texts; offsets are code points. A null or empty text, or a missing model, scores 0. Only the model is
     broadcast: it holds at most FEATURES features.
     """
     spark = docs.sparkSession
