@@ -18,10 +18,12 @@ from groundsearch.llm.common import arrow_batches, documents, files_for, written
 LENGTH, EOS = 1024, 2
 #: Items that are packed together; islands of each such block, epochs between migrations, generations of an epoch, solutions of an island.
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16384, 2, 2, 12, 4
+#: Bins of a new solution in which displaced items are tried in the place of others; items of which pairs are tried.
+SWAPS, PAIRS = 24, 16
 #: Sequences that leave more tokens free than this are packed again, with those of other blocks.
 SLACK = 8
-#: Rounds of packing again, at most.
-LEVELS = 4
+#: Packing again ends where it would take more than this share of a round's items once more.
+AGAIN = 0.9
 
 
 def tokenizer(path: str | None = None):
@@ -119,16 +121,77 @@ def crossover(a: Packing, b: Packing, rng: random.Random, share: float = 0.1) ->
 
 
 def settle(child: Packing, homeless: list[int], rng: random.Random) -> Packing:
-    """Empty a few of the least filled bins as well, and put every displaced item in by best fit, longest first."""
+    """Empty a few of the least filled bins as well; let displaced items take the place of smaller ones where that fills a bin better; and put
+    what is displaced then in by best fit, longest first."""
     worst = sorted(child.room, key=lambda k: (-child.room[k], k))[: 2 + len(child.room) // 50]
     for k in rng.sample(worst, min(len(worst), 1 + len(worst) // 2)):
         homeless += child.drop(k)
+    open_ = [k for k in sorted(child.room) if child.room[k]]
+    for k in rng.sample(open_, min(len(open_), SWAPS)):
+        homeless = exchange(child, k, homeless)
     homeless.sort(key=lambda i: (-child.sizes[i], i))
     for i in homeless:
         child.put(i)
     return child
 
 
+def exchange(p: Packing, k: int, homeless: list[int]) -> list[int]:
+    """Replace one or two items of bin k by one or two displaced items that are longer together, by as much as fits; the displaced items then."""
+    sizes, room, items = p.sizes, p.room[k], p.bins[k]
+    near = sorted(homeless, key=lambda i: (sizes[i], i))
+    new = [((), 0), *(((i,), sizes[i]) for i in near)]
+    if len(near) <= PAIRS:
+        new += [((a, b), sizes[a] + sizes[b]) for n, a in enumerate(near) for b in near[n + 1 :]]
+    best, gain = None, 0
+    mine = sorted(items[-PAIRS:])
+    for old in [*((i,) for i in mine), *((a, b) for n, a in enumerate(mine) for b in mine[n + 1 :])]:
+        out = sum(sizes[i] for i in old)
+        for group, size in new:
+            if gain < size - out <= room and len(group) <= len(old) + 1:
+                best, gain = (old, group), size - out
+        if gain == room:
+            break
+    if best is None:
+        return homeless
+    old, group = best
+    p.drop(k)
+    p.add_bin([i for i in items if i not in old] + list(group))
+    return [i for i in homeless if i not in group] + list(old)
+
+
+def complement_fit(sizes: list[int], length: int) -> Packing:
+    """Bins begun by the longest item left and closed by the two items, or the one, that come nearest to filling it; the rest by best fit."""
+    left: dict[int, list[int]] = {}
+    for i in sorted(range(len(sizes)), reverse=True):
+        left.setdefault(sizes[i], []).append(i)
+    count = np.zeros(length + 1, np.int64)
+    for s, items in left.items():
+        count[s] = len(items)
+    p, small = Packing(sizes, length), []
+    for s in range(length, 0, -1):
+        while count[s]:
+            count[s] -= 1
+            first, room = left[s].pop(), length - s
+            have = np.flatnonzero(count[: room + 1] > 0)
+            have = have[have > 0]
+            if not len(have):
+                small.append(first)
+                continue
+            # for each second item the longest third that still fits; a size serves twice only where two items have it
+            third = np.searchsorted(have, room - have, side="right") - 1
+            third = np.where((third >= 0) & (have[third] == have) & (count[have] < 2), third - 1, third)
+            total = have + np.where(third >= 0, have[third], 0)
+            pick = int(total.argmax())
+            items = [first]
+            for x in (have[pick], *([have[third[pick]]] if third[pick] >= 0 else [])):
+                count[x] -= 1
+                items.append(left[int(x)].pop())
+            p.add_bin(items)
+    for i in small:
+        p.put(i)
+    return p
+
+
 def evolve(sizes: list[int], seeds: list[list[int]], rng: random.Random, length: int = LENGTH, generations: int = GENERATIONS, population: int = POPULATION) -> list[int]:
     """The bin number of each item in the best solution of an island; seeds: solutions to begin with, as bin numbers.
 
@@ -146,6 +209,8 @@ def evolve(sizes: list[int], seeds: list[list[int]], rng: random.Random, length:
         pool.append(p)
     if not pool:
         pool.append(best_fit(sizes, length, order))
+        if len(pool[0].bins) > least:
+            pool.append(complement_fit(sizes, length))
     while len(pool) < population and min(p.cost()[0] for p in pool) > least:
         pool.append(best_fit(sizes, length, sorted(order, key=lambda i: -sizes[i] * (1 + 0.1 * rng.random()))))
     pool.sort(key=Packing.cost)
@@ -254,8 +319,9 @@ def pack(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, path: str |
 
     Pieces of full length are sequences by themselves; a document's shorter first piece is an item to pack. Items are dealt by hash to
     blocks, whose islands evolve packings; the sequences of a round that are full up to SLACK tokens stay, and the items of the others are
-    packed again with those of all blocks, in fewer blocks, until one block holds them. Only sizes and numbers move. A null text is an
-    empty one, which is the eos alone; repeated rows are packed each; an empty table gives no rows.
+    packed again with those of all blocks, in fewer blocks, until one block holds them or a round leaves nearly all its items (AGAIN) in
+    ill-filled sequences, so that another could not gain. Only sizes and numbers move. A null text is an empty one, which is the eos alone;
+    repeated rows are packed each, in any order where sizes tie; other columns play no part; an empty table gives no rows.
     """
     pieces = token_pieces(docs, length, path=path)
     first = F.when(F.col("n_ids") < length, F.col("n_ids")).otherwise(F.col("n_ids") % length)
@@ -265,8 +331,8 @@ def pack(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, path: str |
     while n:
         got = pack_items(items, n, level, length, block)
         again = got.where(length - F.col("used") > SLACK)
-        m = again.count() if n > block and level + 1 < LEVELS else 0
-        if m and m < 0.95 * n:
+        m = again.count() if n > block else 0
+        if m and m < AGAIN * n:
             placed.append((level, got.where(length - F.col("used") <= SLACK)))
             items, n = again.select("uid", "size"), m
             level += 1
@@ -275,7 +341,7 @@ def pack(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, path: str |
             n = 0
     empty = pieces.sparkSession.createDataFrame([], "uid long, seq long, offset long")
     for k, got in placed:
-        seq = (F.lit(k).cast("long") * (1 << 58)) + F.col("block") * (1 << 20) + F.col("bin")
+        seq = (F.lit(k).cast("long") * (1 << 50)) + F.col("block") * (1 << 20) + F.col("bin")
         empty = empty.union(got.select("uid", seq.alias("seq"), "offset"))
     joined = pieces.join(empty, "uid", "left")
     rows = joined.select("doc_id", "n_ids", "uid", "head", "seq", "offset", F.posexplode("crcs").alias("piece", "crc"))

@@ -86,3 +86,52 @@ def test_ids_match_the_tokenizers_library(spark, sf):
         assert a(r.text) == b(r.text)
     for x in ("a<|endoftext|>b", "  lead", "tab\tnew\n\n line", "don't I'LL", "日本語 𝄞", " x", "a" * 3000):
         assert a(x) == b(x)
+
+
+def thirds(n, seed):
+    """Sizes of items that fill n sequences of 1024 exactly, three to a sequence: two sequences' longest items never fit together."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randint(389, 501)
+        b = rng.randint(256, (1024 - a) // 2)
+        out += [a, b, 1024 - a - b]
+    return out
+
+
+def test_evolution_beats_its_seeds_where_best_fit_loses():
+    """200 sequences would do. Best fit takes 233, the seeds' best 203, evolution 201."""
+    sizes = thirds(200, 200)
+    order = sorted(range(600), key=lambda i: -sizes[i])
+    plain, seed = len(P.best_fit(sizes, 1024, order).bins), len(P.complement_fit(sizes, 1024).bins)
+    bins = P.evolve(sizes, [], random.Random(1), 1024, 200, 8)
+    assert max(np.bincount(bins, sizes)) <= 1024 and len(bins) == 600
+    assert max(bins) + 1 <= 202 < plain - 25 and max(bins) + 1 < seed
+
+
+def test_packing_gains_from_it(spark):
+    """The same through blocks, islands and migration: far fewer sequences than best fit needs."""
+    sizes = thirds(150, 5)
+    items = spark.createDataFrame(list(enumerate(sizes)), "uid long, size int")
+    rows = P.pack_items(items, len(sizes), 0).collect()
+    assert sorted((r.uid, r.size) for r in rows) == list(enumerate(sizes)) and max(r.used for r in rows) <= 1024
+    assert len({(r.block, r.bin) for r in rows}) <= 155 < len(P.best_fit(sizes, 1024, sorted(range(450), key=lambda i: -sizes[i])).bins) - 15
+
+
+def test_complement_fit_places_every_item_once():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 50, 300):
+        sizes = [rng.choice([1, 7, 300, 341, 342, 512, 700, 1024, rng.randint(1, 1024)]) for _ in range(n)]
+        p = P.complement_fit(sizes, 1024)
+        assert sorted(i for b in p.bins.values() for i in b) == list(range(n)) and all(r >= 0 for r in p.room.values())
+
+
+def test_ids_equal_the_tokenizers_library_on_any_text():
+    rng, encode, want = random.Random(4), P.tokenizer(), reference()
+    ranges = [(32, 126), (0, 0x2FF), (0x300, 0x2FFF), (0x3000, 0xD7FF), (0xE000, 0xFFFF), (0x10000, 0x10FFFF), (0x2000, 0x206F), (9, 13)]
+    for _ in range(400):
+        a, b = rng.choice(ranges)
+        c, d = rng.choice(ranges)
+        text = "".join(chr(rng.randint(a, b)) if rng.random() < 0.6 else chr(rng.randint(c, d)) for _ in range(rng.randint(1, 200)))
+        assert list(encode(text)) == want(text), ascii(text)
+    long = " ".join(rng.choice(["don't", "1234567", "naïve", "\n\n  x", "日本語", "🙂"]) for _ in range(60000))
+    assert list(encode(long)) == want(long)
