@@ -58,15 +58,15 @@ def embed_py(text: str, dimension: int = DIMENSION) -> list[float]:
     return [x / norm for x in v] if norm else v
 
 
-def embed(df: DataFrame, text: str, dimension: int = DIMENSION, out: str = "vector") -> DataFrame:
-    """df with a column of unit vectors (zeros for a text without features); Arrow batches, no shuffle: for whole corpora."""
+def embed(df: DataFrame, text: str, dimension: int = DIMENSION, out: str = "vector", spread: bool = True) -> DataFrame:
+    """df with a column of unit vectors (zeros for a text without features), in Arrow batches. spread deals the rows anew first, for tables of
+    few partitions, as small corpora are: much work for each row."""
 
     @F.pandas_udf(T_.ArrayType(T_.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: np.asarray(embed_py(t or "", dimension), np.float32))
 
-    spread = df.sparkSession.sparkContext.defaultParallelism * 4  # few rows, much work each
-    return df.repartition(spread).withColumn(out, run(F.col(text)))
+    return (df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4) if spread else df).withColumn(out, run(F.col(text)))
 
 
 def dot(a: Column, b: Column) -> Column:
