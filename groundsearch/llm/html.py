@@ -21,7 +21,8 @@ MERGED, WORDS = 16 << 20, 32
 #: Bytes of all wrappers up to which they are broadcast.
 BROADCAST_BYTES = 16 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S)
+#: A comment, tag or text. Quotes count after = alone, so a stray one hides nothing; nothing is tried twice, so the time is linear.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)>|<[!?/][^>]*+>|([^<]++)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -29,42 +30,52 @@ _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 #: Elements that a start tag of the key closes.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}}
-#: Elements, roles and words of class or id that never hold the article.
+#: Elements and roles that never hold the article.
 _OUT = set("head nav footer aside form button select textarea iframe svg object menu dialog script style noscript template title canvas audio video".split())
 _ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Words of class or id that hint at other parts. They are hints only: see Wrapper.soft and label().
 _WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead social share sharing related recommended recommendations comment comments commentlist disqus reply "
     "replies respond widget widgets toolbar pagination pager login signin signup skip hidden banner".split()
 )
 _SOFT, _BODY = {"header", "footer", "topbar", "bottom"}, {"article", "post", "entry", "story", "content"}
+#: Names with one of these speak of a state or of a whole page's layout, as has-sidebar or menu-open; with these beside a hint it is plain.
+_STATES = set("has have with without no not is layout open opened closed enabled disabled active on off page single template body theme col columns grid".split())
+_PLAIN = set("area box block wrap wrapper container section list item items site left right top bottom inner outer main primary secondary the global sticky fixed text link links title id".split())
+
+
+def _hint(names: str) -> str:
+    """"~~" where a class or id says plainly that the element is another part, "~" where it may say so, else nothing."""
+    found = ""
+    for name in names.split():
+        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        if words & _STATES or not words & (_WORDS | _SOFT) or not words & _WORDS and words & _BODY:
+            continue
+        found = max(found, "~~" if words <= _WORDS | _SOFT | _PLAIN else "~")
+    return found
 
 
 class Node:
-    """An element (sig: name and classes) with its kids, or a run of text (sig "#"), of which `link` characters are in links."""
+    """An element (sig: name and classes) with its kids, or a run of text (sig "#"), of which `link` characters are in links. out: never part
+    of an article; hint: the element's class or id hints at another part."""
 
-    __slots__ = ("sig", "tag", "out", "main", "kids", "text", "link")
+    __slots__ = ("sig", "tag", "out", "main", "hint", "kids", "text", "link")
 
-    def __init__(self, sig, tag="", out=False, main=False):
-        self.sig, self.tag, self.out, self.main, self.kids, self.text, self.link = sig, tag, out, main, [], "", 0
+    def __init__(self, sig, tag="", out=False, main=False, hint=False):
+        self.sig, self.tag, self.out, self.main, self.hint, self.kids, self.text, self.link = sig, tag, out, main, hint, [], "", 0
 
 
 def _element(tag: str, attrs: str, inside_main: bool) -> Node:
     a = {}
     for m in _ATTR.finditer(attrs):
         a.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
-    names = a.get("class", "").lower() + " " + a.get("id", "").lower()
-    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names)))
     role = a.get("role", "").lower()
     main = tag in ("article", "main") or role == "main" or a.get("itemprop", "").lower() == "articlebody"
-    out = (
-        tag in _OUT or role in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "").lower()))
-        or tag not in ("html", "body") and (bool(words & _WORDS) or bool(words & _SOFT) and not words & _BODY)
-    )
-    if tag == "header" and not inside_main:
-        out = True
-    sig = ".".join([tag, *sorted(set(re.sub(r"[\d]+", "", a.get("class", "").lower()).split()))]) + "!" * out + "@" * main
-    return Node(sig, tag, out, main and not out)
+    out = tag in _OUT or role in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "").lower())) or tag == "header" and not inside_main
+    hint = "" if tag in ("html", "body") else _hint(f"{a.get('class', '')} {a.get('id', '')}")
+    sig = ".".join([tag, *sorted(set(re.sub(r"[\d]+", "", a.get("class", "").lower()).split()))]) + "!" * out + hint + "@" * main
+    return Node(sig, tag, out, main and not out, bool(hint))
 
 
 def parse(html: str) -> Node:
@@ -83,11 +94,22 @@ def parse(html: str) -> Node:
             text.clear()
         link = 0
 
+    last = html.rfind(">")
     while at < len(html):
+        if at > last:  # no tag ends after this
+            text.append(html[at:].partition("<!--")[0])
+            break
         m = _TOKEN.match(html, at)
-        if m is None:  # a tag that never ends
-            text.append(html[at])
-            at += 1
+        if m is None:  # a < that begins no tag, or one whose last quote never ends: up to the next >, so that no part is read twice
+            end = html.find(">", at) if html[at + 1 : at + 2].isalpha() else -1
+            if end < 0:
+                text.append("<")
+                at += 1
+                end = html.find("<", at)
+                text.append(html[at : end if end >= 0 else len(html)])
+                at = end if end >= 0 else len(html)
+            else:
+                at = end + 1
             continue
         at = m.end()
         if m[4] is not None:
@@ -141,7 +163,7 @@ def parse(html: str) -> Node:
 
 class Wrapper:
     """A union-free expression: an element with its kids in order, each of which may be optional, repeated, or part of a repeated group;
-    a text is constant (its words) or a slot (None). mass, link and pages are characters and pages seen. keep and inside are label()'s."""
+    a text is constant (its words; of a repeated one the lines that a page has there) or a slot (None). mass, link and pages are characters and pages seen. keep and inside are label()'s."""
 
     __slots__ = ("sig", "opt", "plus", "group", "words", "kids", "mass", "link", "pages", "keep", "inside")
 
@@ -184,28 +206,53 @@ def wrap(node: Node) -> Wrapper:
     return Wrapper(node.sig, kids=order.values())
 
 
-def merge(a: Wrapper, b: Wrapper, repeat: bool = False) -> Wrapper:
-    """The expression of both: kids in both are merged, those in one are optional, and texts that differ become a slot.
+def align(a: list[Wrapper], b: list[Wrapper]) -> list[tuple[Wrapper | None, Wrapper | None]]:
+    """Pairs of two token streams of one level, in order. At a mismatch, what the other stream has nowhere ahead is optional (None beside it);
+    what both have, but in another order, is a pair all the same: such parts repeat in either order, and are a group."""
+    ahead_a, ahead_b = {k.sig: k for k in a}, {k.sig: k for k in b}
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        x, y = a[i] if i < len(a) else None, b[j] if j < len(b) else None
+        if x is not None and x.sig not in ahead_a:  # paired before, out of order
+            i += 1
+        elif y is not None and y.sig not in ahead_b:
+            j += 1
+        elif x is not None and y is not None and x.sig == y.sig:
+            out.append((x, y))
+            del ahead_a[x.sig], ahead_b[y.sig]
+        elif x is not None and x.sig not in ahead_b:
+            out.append((x, None))
+            del ahead_a[x.sig]
+        elif y is not None and y.sig not in ahead_a:
+            out.append((None, y))
+            del ahead_b[y.sig]
+        else:
+            out.append((x, ahead_b.pop(x.sig)))
+            out[-1][0].group = out[-1][0].group or out[-1][1].group or -1
+            del ahead_a[x.sig]
+    return out
+
 
-    repeat: a and b are occurrences within one page, so the result is repeated; else they are two pages.
+def merge(a: Wrapper, b: Wrapper, repeat: bool = False, within: bool = False) -> Wrapper:
+    """The expression of both: their kids aligned, pairs merged, the others optional; texts that differ become a slot.
+
+    repeat: a and b are occurrences within one page, so the result is repeated; else they are two pages. within: they are parts of such
+    occurrences, whose texts are kept as a set of lines, so that a repeated part that says the same on all pages is no slot.
     """
-    words = a.words if a.words == b.words else None
-    mine, theirs = {k.sig: k for k in a.kids}, {k.sig: k for k in b.kids}
-    kids, at = list(a.kids), -1
-    for k in b.kids:
-        if k.sig in mine:
-            at = next(i for i, x in enumerate(kids) if x.sig == k.sig)
-            kids[at] = merge(kids[at], k, False)
-            kids[at].plus |= mine[k.sig].plus | k.plus
-            kids[at].opt |= mine[k.sig].opt | k.opt
+    within = within or repeat
+    words = a.words
+    if a.words != b.words:
+        words = "\n".join(sorted({*a.words.split("\n"), *b.words.split("\n")})) if within and a.words is not None and b.words is not None else None
+    kids = []
+    for x, y in align(a.kids, b.kids):
+        one = x or y
+        if x is not None and y is not None:
+            one = merge(x, y, False, within)
+            one.plus, one.opt = x.plus or y.plus, x.opt or y.opt
         else:
-            at += 1
-            kids.insert(at, k)
-            k.opt = True
-    for k in kids:
-        if k.sig not in theirs:
-            k.opt = True
-    pages = max(a.pages, b.pages) if repeat else a.pages + b.pages
+            one.opt = True
+        kids.append(one)
+    pages = max(a.pages, b.pages) if within else a.pages + b.pages
     return Wrapper(a.sig, a.opt or b.opt, repeat or a.plus or b.plus, a.group or b.group, words, kids, a.mass + b.mass, a.link + b.link, pages)
 
 
@@ -218,32 +265,66 @@ def infer(pages: list[Node]) -> Wrapper:
     return out
 
 
+#: Share of a wrapper's slot text that shows an element with a hint (plain, or not so plain) to be no other part, but what holds the article.
+HOLDS = {"~~": 0.9, "~": 0.5}
+#: Share of a marked region's text that is slots, from which on the template's own words in it are no part of the article.
+SLOTS = 0.8
+
+
 def label(w: Wrapper) -> None:
-    """Mark the texts of the wrapper that make up the article (keep).
+    """Mark the texts of the wrapper that make up the article (keep), and the elements that hold them (inside): slots in the region that holds most of what varies from page to page.
 
-    The article is the smallest article or main element that has half the text of the largest; without one, the path is followed downwards
-    while a single kid has most of the text that is neither a link nor the template's own words. Excluded elements have no text here.
-    Ties are broken by depth and signature, so the order in which pages were merged doesn't matter.
+    Hints of class names don't outweigh this: an element that has most of the slot text (HOLDS) is no other part, and one that has an
+    article or main element within is only passed over for one without hints. The region is the smallest article or main element that has
+    half the text of the largest; without one, the path is followed downwards while a single kid has most of the slot text that is not in
+    links. Words that are the same on all pages are the template's: they are left out where there is no such element, or slots make up most
+    of it. Ties are broken by depth and signature, so the order in which pages were merged doesn't matter.
     """
 
     def fixed(t: Wrapper) -> bool:
         return t.words is not None and t.pages >= AGREE
 
+    def slots(x: Wrapper) -> int:
+        if x.sig == "#":
+            return 0 if fixed(x) or 2 * x.link > x.mass else x.mass - x.link
+        return 0 if "!" in x.sig else sum(map(slots, x.kids))
+
+    every, holders = slots(w), set()
+
+    def hint(x: Wrapper) -> bool:
+        return "~" in x.sig and id(x) not in holders
+
+    def find_holders(x: Wrapper):
+        for k in x.kids:
+            if k.sig != "#" and "!" not in k.sig:
+                share = HOLDS["~~" if "~~" in k.sig else "~"]
+                if slots(k) > share * every:
+                    holders.add(id(k))
+                    find_holders(k)
+                elif 2 * slots(k) > every:
+                    find_holders(k)
+
+    find_holders(w)
+
     def mass(x: Wrapper, all_: bool) -> int:
         if x.sig == "#":
-            return x.mass if all_ else 0 if fixed(x) or 2 * x.link > x.mass else x.mass - x.link
-        return 0 if "!" in x.sig else sum(mass(k, all_) for k in x.kids)
+            return x.mass if all_ else slots(x)
+        return 0 if "!" in x.sig or hint(x) else sum(mass(k, all_) for k in x.kids)
 
     marked = []
 
-    def find(x: Wrapper, path: tuple):
+    def find(x: Wrapper, path: tuple, hints: int):
         if "!" not in x.sig:
             if "@" in x.sig:
-                marked.append((mass(x, True), -len(path), path, x))
+                own = sum(mass(k, True) for k in x.kids)
+                if own:
+                    marked.append((0 if not hints and not hint(x) else 1 if not hint(x) and not x.plus else 2, own, -len(path), path, x))
             for k in x.kids:
-                find(k, (*path, k.sig))
+                find(k, (*path, k.sig), hints + hint(x))
 
-    find(w, ())
+    find(w, (), 0)
+    tier = min((t for t, *_ in marked), default=None)
+    marked = [x[1:] for x in marked if x[0] == tier]
     most = max((m for m, *_ in marked), default=0)
     inside = most > 0
     if inside:
@@ -256,11 +337,12 @@ def label(w: Wrapper) -> None:
             if best is None or not total or mass(best, False) < 0.7 * total or best.sig.split(".")[0] == "p":
                 break
             region = best
+    whole = inside and sum(mass(k, False) for k in region.kids) < SLOTS * sum(mass(k, True) for k in region.kids)
 
     def mark(x: Wrapper):
         if x.sig == "#":
-            x.keep = inside or not (fixed(x) or 2 * x.link > x.mass)
-        elif "!" not in x.sig:
+            x.keep = whole or not (fixed(x) or 2 * x.link > x.mass and not inside)
+        elif x is region or "!" not in x.sig and not hint(x):
             x.inside = True
             for k in x.kids:
                 mark(k)
@@ -283,7 +365,7 @@ def extract(page: Node, wrapper: Wrapper) -> list[str]:
             if k.sig == "#":
                 if (own.keep if own else unknown) and (not header or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")):
                     out.append(k.text)
-            elif not k.out:
+            elif not k.out and not (k.hint and own is None):
                 walk(k, own, unknown if own is None else own.inside or w is not None and has(own) and "@" in own.sig or (unknown and has(own)), header or k.tag == "header")
 
     walk(page, wrapper, wrapper.inside, False)
@@ -359,8 +441,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """The columns of pages (url, html, any others) without html, and text and n_chars (its code points), a row for each page.
 
     Wrappers join their pages by host, and each page is read along its wrapper. They are written once and measured: up to BROADCAST_BYTES
-    they go to the pages, so that no page moves; beyond, both sides are shuffled by host, and a hot host is split by skew handling. A null html is an empty page, whose text is empty; a null
-    url or one without a host has no wrapper, and the page is taken by itself. An empty table gives no rows.
+    they go to the pages, so that no page moves; beyond, both sides are shuffled by host, and a hot host is split by skew handling. A null
+    html is an empty page, whose text is empty; a null url or one without a host has no wrapper, and the page is taken by itself. Repeated
+    rows give a row each. Of an article's own header its headings stay and the rest (bylines, dates, a lead) goes, as headers are no part of
+    the text. An empty table gives no rows.
     """
     names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     base = pages.select(*names, F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("x_host"))

@@ -39,6 +39,78 @@ def test_optional_and_repeated_groups():
     assert kids["ul"].opt and kids["ul"].kids[0].plus and not kids["h2"].opt
 
 
+def test_names_of_layouts_and_states_do_not_hide_the_article():
+    article = "<article class='{c}'><p>Body text of some length.</p></article><div class=sidebar><p>Popular</p></div>"
+    for c in ("content has-sidebar", "right-sidebar", "layout-with-nav", "menu-open page", "td-ss-main-sidebar", "menu", "mySidebarLayout"):
+        assert X.main_text(f'<body class="{c}"><div class="{c}">{article.format(c="post comments-open")}</div></body>') == "Body text of some length."
+        assert X.main_text(f'<body><div class="{c}"><p>Body text of some length, with no article element.</p></div></body>') == "Body text of some length, with no article element."
+    for c in ("comments", "related", "site-sidebar", "newsletter box", "cookie-notice"):
+        assert X.main_text(f'<body><article><p>Body text of some length.</p><div class="{c}"><p>Other</p></div></article></body>') == "Body text of some length."
+
+
+def test_quotes_in_odd_places():
+    assert X.main_text("<p title=it's>One</p><p>Two</p><p>don't</p><p>Three</p>") == "One\nTwo\ndon't\nThree"
+    assert X.main_text("<p a = 'x>y' b=\"it's\">One<p c='>Two</p><p>Three") == "One\nTwo\nThree"
+
+
+def test_broken_tags_take_linear_time():
+    import time
+
+    for bad in ('<a "', '<a x=">', "<", "<a x='>\">", '<p ="', "<!", "<a x=1 "):
+        took = []
+        for n in (5000, 40000):
+            began = time.perf_counter()
+            X.parse(bad * n)
+            X.parse(bad * n + ">")
+            took.append(time.perf_counter() - began)
+        assert took[1] < 30 * took[0] + 0.2, bad
+
+
+def test_alignment_against_brute_force():
+    """Every token of both streams stands in the pairs once, equal ones together, and pairs keep the order of both unless both have a token in
+    another order; what stays optional is what a longest common subsequence leaves out, where the orders agree."""
+    import random
+
+    rng = random.Random(8)
+    for _ in range(300):
+        names = rng.sample("abcdefgh", rng.randint(0, 8))
+        a, b = [n for n in names if rng.random() < 0.7], [n for n in names if rng.random() < 0.7]
+        got = X.align([X.Wrapper(n) for n in a], [X.Wrapper(n) for n in b])
+        assert [p.sig for p, _ in got if p] == a and [q.sig for _, q in got if q] == b
+        assert all(p is None or q is None or p.sig == q.sig for p, q in got) and sum(p is not None and q is not None for p, q in got) == len(set(a) & set(b))
+        c = rng.sample(a, len(a))
+        got = X.align([X.Wrapper(n) for n in a], [X.Wrapper(n) for n in c])
+        assert sorted(p.sig for p, q in got) == sorted(a) == sorted(q.sig for p, q in got)
+
+
+PLAIN = """<html><body><div class=ua>{menu}</div><div class=ub><div class=uc>{promo}</div><div class=ud>{article}</div><div class=ue>{about}</div></div></body></html>"""
+
+
+def test_wrappers_find_what_pages_alone_do_not(spark):
+    """60 pages of three hosts without article elements or telling class names; a long promotion and an author's note are the same on all pages
+    of a host. Words right of all that are given (precision) and of all that are due (recall)."""
+    import random
+
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows, due = [], {}
+    for h in range(3):
+        fixed = {"menu": "".join(f"<p><a href=/{k}>{text(2)}</a></p>" for k in range(8)), "promo": f"<p>{text(90)}</p><p>{text(60)}</p>", "about": f"<h3>{text(3)}</h3><p>{text(40)}</p>"}
+        for n in range(20):
+            blocks = [text(5), *(text(rng.randint(10, 40)) for _ in range(rng.randint(1, 4)))]
+            rows.append((20 * h + n, f"http://h{h}.example/{n}", PLAIN.format(article=f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:]), **fixed)))
+            due[20 * h + n] = "\n".join(blocks)
+
+    def quality(texts):
+        right = sum(len(set(texts[i].split()) & set(due[i].split())) for i in due)
+        return right / max(1, sum(len(set(t.split())) for t in texts.values())), right / sum(len(set(t.split())) for t in due.values())
+
+    got = {r.page_id: r.text for r in X.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert quality(got) == (1.0, 1.0) and got == due
+    alone = quality({i: X.main_text(h) for i, _, h in rows})
+    assert alone[0] < 0.6  # a page by itself can't tell the promotion from the article
+
+
 def test_semantic_article_and_broken_markup():
     t = "<body><nav>menu</nav><article><header><h1>Head &amp line</h1><span>by me</span></header><p><b>One.<br><p>Two  three&nbsp;four</p><div class=ad>Buy</div><aside>Note</aside><ul><li>x<li>y</ul><section class=comments><article class=comment>hm</article></section></article><footer>f</footer>"
     assert X.main_text(t) == "Head & line\nOne.\nTwo three four\nx\ny"
