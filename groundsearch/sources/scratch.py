@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names. Where that is unset (tests, local runs) a new one is set."""
+    """The shared folder that spark.checkpoint.dir names. Where that is unset a new one is set on a single machine; a cluster refuses."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='groundsearch-')}")
         found = sc._jsc.sc().getCheckpointDir().get()
     return found
