@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundsearch.llm import mixing, packing, simhash, substring, toxicity
-from groundsearch.llm.common import shared_dir
+from groundsearch.llm.common import remove, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go. The model is fitted on labelled documents of the input; without labels all stay."""
+    """Documents that the toxicity model rejects go. The model is fitted on labelled documents of the input; without labels all stay.
+
+    Null and empty texts score 0 and stay; repeated rows are scored, and stay or go, each; very long texts are scored whole.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_toxicity(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
@@ -36,18 +39,19 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from all texts but the first; n_chars follows."""
+    """Repeated passages go from all texts but the first by doc_id; n_chars follows. Null texts stay null, texts that are all repeated stay as
+    empty ones; repeated rows count as one document."""
     out = substring.dedup_substrings(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's target asks for."""
+    """Each document as many times as its source's target asks for, at most three; those taken no time go. A null source is one of its own."""
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences of 1024 tokens."""
+    """The pieces of all documents, repeated rows each, placed in sequences of 1024 tokens; a null or empty text is a piece of one token."""
     return packing.pack(docs.select("doc_id", "text"))
 
 
@@ -64,12 +68,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again, and goes when the next stage has written its own.
+
+    Columns of documents other than COLUMNS are left out from the first stage on, whatever their names; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{top}/{k}-{name}")
+        if k:
+            remove(spark, f"{top}/{k - 1}-{STAGES[k - 1][0]}")
         docs = spark.read.schema(out.schema).parquet(f"{top}/{k}-{name}")
     return docs
 
