@@ -38,10 +38,19 @@ def leaves(expression) -> list[Phrase]:
     return [expression] if isinstance(expression, Phrase) else [x for p in expression.parts for x in leaves(p)]
 
 
-def postings(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, term, positions, tf) of the rows' fields: the inverted index. Partition it by term when writing it."""
+def terms_of(*expressions) -> list[str]:
+    """The different terms of the expressions."""
+    return sorted({t for e in expressions for p in leaves(e) for t in T.fts_tokens_py(p.text)})
+
+
+def postings(rows: DataFrame, key: str, fields: list[str], terms: list[str] | None = None) -> DataFrame:
+    """(key, field, term, positions, tf) of the rows' fields: the inverted index. Partition it by term when writing it.
+
+    terms, if given, are all that is wanted, as for a stated query over texts without an index: others end where they are read.
+    """
     cols = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("text")) for f in fields])
     tokens = rows.select(key, F.explode(cols).alias("c")).select(key, "c.field", F.posexplode(T.fts_tokens(F.col("c.text"))).alias("pos", "term"))
+    tokens = tokens if terms is None else tokens.where(F.col("term").isin(terms))
     return tokens.groupBy(key, "field", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
 
 

@@ -218,7 +218,8 @@ class Retriever:
                 names.append((f"{q}|{k}", q, k, term))
         schema = "pass_id string, question_id string, variant int, term string"
         keyed = self.pages.withColumn("page_key", F.concat_ws("#", "document_id", "page_num"))
-        hits = fulltext.search(fulltext.postings(keyed, "page_key", ["page_text"]), fulltext.doc_lengths(keyed, "page_key", ["page_text"]), passes, "page_key", fulltext.PAGE_WEIGHTS) if passes else spark.createDataFrame([], "pass_id string, page_key string, score double, rank int")
+        wanted = fulltext.terms_of(*(e for _, e, _ in passes))
+        hits = fulltext.search(fulltext.postings(keyed, "page_key", ["page_text"], wanted), fulltext.doc_lengths(keyed, "page_key", ["page_text"]), passes, "page_key", fulltext.PAGE_WEIGHTS) if passes else spark.createDataFrame([], "pass_id string, page_key string, score double, rank int")
         h = hits.join(F.broadcast(spark.createDataFrame(names, schema)), "pass_id")  # a row for each wording
         h = h.groupBy("question_id", "page_key").agg(F.min(F.struct("variant", "rank")).alias("at"))
         w = Window.partitionBy("question_id").orderBy("at", "page_key")

@@ -39,13 +39,11 @@ def bucket(feature: Column, dimension: int = DIMENSION) -> tuple[Column, Column]
 
 
 def sparse_embedding(df: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
-    """(key, bucket, value): the embedding before normalising, by built-in functions and one aggregation.
-
-    Equal features of a row meet before they are hashed, so the rows that move are the distinct ones.
-    """
-    f = df.select(key, F.explode(embedding_features(F.col(text))).alias("x")).groupBy(key, F.col("x.f").alias("f")).agg(F.sum("x.w").alias("w"))
-    b, sign = bucket(F.col("f"), dimension)
-    return f.select(key, b.alias("bucket"), (sign * F.col("w")).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("value"))
+    """(key, bucket, value): the embedding before normalising, by built-in functions and one aggregation, whose partial sums leave at most
+    `dimension` rows of a text to move."""
+    f = df.select(key, F.explode(embedding_features(F.col(text))).alias("x"))
+    b, sign = bucket(F.col("x.f"), dimension)
+    return f.select(key, b.alias("bucket"), (sign * F.col("x.w")).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("value"))
 
 
 def embed_py(text: str, dimension: int = DIMENSION) -> list[float]:

@@ -105,7 +105,7 @@ SELECT doc_id, round(-({score}), 6) AS score FROM l, s WHERE {holds} ORDER BY ro
 
 def _search(spark, sf_dir, expression, limit):
     d = table(spark, sf_dir, "documents").withColumn("page_text", F.col("text"))
-    index, lengths = fulltext.postings(d, "doc_id", ["page_text"]), fulltext.doc_lengths(d, "doc_id", ["page_text"])
+    index, lengths = fulltext.postings(d, "doc_id", ["page_text"], fulltext.terms_of(expression)), fulltext.doc_lengths(d, "doc_id", ["page_text"])
     return fulltext.search(index, lengths, [("q", expression, limit)], "doc_id", fulltext.PAGE_WEIGHTS).select("doc_id", F.round("score", 6).alias("score"))
 
 
