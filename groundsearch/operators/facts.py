@@ -174,7 +174,7 @@ def insert_ignore(old: DataFrame | None, new: DataFrame) -> DataFrame:
 def lookup(facts_: DataFrame, questions: DataFrame) -> DataFrame:
     """Facts for questions (question_id, system, attribute): the system by any of its names, the attribute by its label; null: any.
 
-    Names are exploded and joined by equality; a question's rows are in page order.
+    Names are exploded and joined by equality; a question's rows are in page order, of equal pages by document.
     """
     questions = questions.withColumnsRenamed({"system": "q_system", "attribute": "q_attribute"})
     q = questions.withColumn("name", T.system_name(F.col("q_system"))).withColumn("label", T.attribute_name(F.coalesce("q_attribute", F.lit(""))))
@@ -182,7 +182,7 @@ def lookup(facts_: DataFrame, questions: DataFrame) -> DataFrame:
     named = q.where("name IS NOT NULL").join(facts_, F.col("name") == F.col("system_normalized"))
     unnamed = q.where("name IS NULL").join(facts_, F.col("label") == F.col("attribute_normalized"))
     both = named.where("label = '' OR label = attribute_normalized").unionByName(unnamed)
-    order = Window.partitionBy("question_id").orderBy("page_start", "page_end", "fact_seq")
+    order = Window.partitionBy("question_id").orderBy("page_start", "page_end", "document_id", "fact_seq")
     return both.select("question_id", *_COLUMNS).distinct().withColumn("rank", F.row_number().over(order))
 
 

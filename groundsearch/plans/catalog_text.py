@@ -156,7 +156,15 @@ def hash_embed_buckets(spark, sf_dir):
     return vectors.sparse_embedding(d, "doc_id", "text", 64).select("doc_id", "bucket", (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query()
+_ALL_BUCKETS = _BUCKET_SQL.replace("WHERE text IS NOT NULL", "").replace("lower(text)", "lower(coalesce(text, ''))").replace("round(sum(CASE", "sum(CASE").replace("END), 6) + 0.0::DOUBLE", "END)")
+_ASKED = ", ".join(f"{x!r}::DOUBLE" for x in vectors.embed_py("the and of there", 64))
+
+
+@query(
+    f"""WITH b AS ({_ALL_BUCKETS}), n AS (SELECT doc_id, bucket, (value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS v FROM b WHERE value <> 0),
+s AS (SELECT doc_id, sum(v * ([{_ASKED}])[bucket + 1]) AS s FROM n GROUP BY doc_id)
+SELECT doc_id, round(s, 6) AS score, row_number() OVER (ORDER BY round(s, 12) DESC, doc_id)::INT AS rank FROM s WHERE s > 0 ORDER BY rank LIMIT 20"""
+)
 def hash_embed_topk(spark, sf_dir):
     d = vectors.embed(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", 64)
     q = spark.createDataFrame([(0, vectors.embed_py("the and of there", 64))], "query_id int, vector array<double>")
