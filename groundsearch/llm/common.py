@@ -50,11 +50,11 @@ def materialised(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(files_for(rows))).checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: for frames of which later steps read a few columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
