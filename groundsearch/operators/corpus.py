@@ -106,8 +106,9 @@ def derive_from_chunks(chunks: DataFrame, dimension: int = vectors.DIMENSION) ->
 class Corpus:
     """The tables of a corpus in a folder, each partitioned by document_id.
 
-    A version of the tables is a folder of its own; `_CURRENT` names the one that readers see, and is written last, so a failed or repeated
-    write leaves the old version in sight.
+    A version of the tables is a folder of its own. Readers see the one that the highest numbered folder of `_versions` names; that folder is
+    put there last, whole, by a rename to a name that was not there, and nothing is deleted before. So a write that ends anywhere, or is
+    repeated, leaves the old version in sight. The version before the present one stays for readers that began with it; older ones go.
     """
 
     DERIVED = ("pages", "chunks", "features", "facts", "embeddings")
@@ -119,10 +120,17 @@ class Corpus:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> str | None:
+    def _pointers(self) -> list[str]:
         fs, Path = self._fs()
-        p = Path(f"{self.path}/_CURRENT")
-        return self.spark.read.text(f"{self.path}/_CURRENT").first()[0] if fs.exists(p) else None
+        top = Path(f"{self.path}/_versions")
+        return sorted(n for n in (str(x.getPath().getName()) for x in fs.listStatus(top)) if n.isdigit()) if fs.exists(top) else []
+
+    def _named(self, pointer: str) -> str:
+        return self.spark.read.text(f"{self.path}/_versions/{pointer}").first()[0]
+
+    def version(self) -> str | None:
+        found = self._pointers()
+        return self._named(found[-1]) if found else None
 
     def table(self, name: str) -> DataFrame:
         v = self.version()
@@ -134,15 +142,30 @@ class Corpus:
         return self.spark.read.parquet(where)
 
     def _commit(self, tables: dict[str, DataFrame]) -> str:
-        fs, Path = self._fs()
+        return self._publish(self._write(tables))
+
+    def _write(self, tables: dict[str, DataFrame]) -> str:
+        """A new version's folder, which no reader sees yet."""
         version = f"v-{uuid.uuid4().hex}"
         for name, df in tables.items():
             writer = df.write.mode("overwrite")
             (writer.partitionBy("document_id") if name in self.DERIVED else writer).parquet(f"{self.path}/{version}/{name}")
-        tmp = f"{self.path}/_CURRENT-{version}"
+        return version
+
+    def _publish(self, version: str) -> str:
+        """Let readers see a version; of two writers at once the second fails."""
+        fs, Path = self._fs()
+        before = self._pointers()
+        tmp, new = f"{self.path}/_next-{version}", f"{self.path}/_versions/{int(before[-1]) + 1 if before else 1:019d}"
         self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(tmp)
-        fs.delete(Path(f"{self.path}/_CURRENT"), True)
-        fs.rename(Path(tmp), Path(f"{self.path}/_CURRENT"))
+        fs.mkdirs(Path(f"{self.path}/_versions"))
+        if fs.exists(Path(new)) or not fs.rename(Path(tmp), Path(new)):
+            fs.delete(Path(tmp), True)
+            raise RuntimeError(f"another writer published {new} first")
+        for old in before[:-1]:
+            gone = self._named(old)
+            fs.delete(Path(f"{self.path}/_versions/{old}"), True)
+            fs.delete(Path(f"{self.path}/{gone}"), True)
         return version
 
     def replace_documents(self, pages: DataFrame, documents: DataFrame | None = None) -> dict[str, int]:

@@ -1,6 +1,7 @@
 import corpus_fixture as fixture
 import pytest
 
+from groundsearch import schemas
 from groundsearch.operators import evaluate, planner, vocabulary
 from groundsearch.operators.answer import Assistant
 from groundsearch.operators.corpus import Corpus
@@ -55,6 +56,19 @@ def test_replace_refresh_validate(spark, corpus):
     assert v["ready"] and v["counts"]["chunks"] == n and corpus.active_document() in ("doc_t", "doc_u")
 
 
+def test_a_write_that_ends_early_leaves_the_old_version(spark, tmp_path):
+    c = Corpus(spark, str(tmp_path))
+    rows = lambda *xs: spark.createDataFrame([(x, x, "", "", "", 1, None) for x in xs], schemas.TABLES["documents"])
+    seen = lambda: sorted(r.document_id for r in c.table("documents").collect())
+    first = c._commit({"documents": rows("a")})
+    halted = c._write({"documents": rows("a", "b")})  # a crash between writing and publishing
+    (tmp_path / "_next-halted").mkdir()  # and one while publishing
+    assert c.version() == first and seen() == ["a"]
+    assert c._publish(halted) == c.version() and seen() == ["a", "b"]
+    third = c._commit({"documents": rows("c")})
+    assert c.version() == third and seen() == ["c"] and not (tmp_path / first).exists() and (tmp_path / halted).exists()
+
+
 def test_streaming_ingest(spark, tmp_path):
     src = str(tmp_path / "in")
     fixture.pages(spark).write.parquet(src)
