@@ -18,6 +18,7 @@ from groundsearch.operators.facts import VALUES, fact_hits, fact_scores
 from groundsearch.operators.planner import Plan
 from groundsearch.operators.recall import Retriever, low_content_py
 from groundsearch.operators.segment import has_value, is_table_header
+from groundsearch.sources.scratch import stored
 
 # fixed values: limits, and the patterns of values and of evidence
 EXCERPT, DEEP_EXCERPT, PAGE_EXCERPT, QUOTE = 650, 900, 700, 340
@@ -38,6 +39,21 @@ TYPED = {
 DUTIES = r"(?i)\b(?:shall|must|responsible|required|provide|furnish|supply|perform|deliver|submit)\b"
 LIMITS = r"(?i)\b(?:guarantee[sd]?|shall not exceed|not exceed|limits?)\b"
 DEFINES = r"(?i)\bmeans\b|\bdefined as\b|\bdefinition\b"
+TABLE_HEADS, TABLE_WORDS = ("characteristic", "specification"), ("yes", "no", "indoor", "outdoor", "inside", "outside", "n/a", "na")
+BULLETS, TABLE_LEAST, TABLE_MOST = ("\u2022", "\uf0b7"), 4, 8
+REQUIREMENT_WORDS = ("required", "requirement", "shall", "must", "responsible", "obligation")
+# weights of what makes an excerpt answer a requirement question, each counted once
+REQUIREMENT_WEIGHTS = (
+    (1.2, r"\b(?:shall|must|required|responsible|obligated|provide|perform|submit|deliver|maintain|comply)\b"),
+    (1.0, r"\b\d+(?:\.\d+)?\s*%"),
+    (1.2, r"\bmixture of\b|\bconsist(?:s|ing)? of\b|\bcomprised of\b"),
+    (-1.0, r"\bbasis for design\b|\bdesigned to provide\b|\bmeet the needs of\b"),
+)
+REQUIREMENT_SYSTEM, REQUIREMENT_CONCEPT, REQUIREMENT_NUMBER, REQUIREMENT_SHORT, REQUIREMENT_MARGIN = 1.4, 0.8, 0.35, (0.35, 220), 1.0
+# when a chooser is asked: the first bundle's lead over the second, or its confidence, is below these; it sees this many
+CHOOSE_GAP, CHOOSE_CONFIDENCE, CHOOSE_FROM = 0.35, 0.62, 3
+# of a generator's context: sections of a summary, of a deep answer, page hits, page windows and their length
+SUMMARY_PARTS, DEEP_PARTS, DEEP_HITS, DEEP_WINDOWS, WINDOW = 5, 6, 2, 3, 500
 
 
 @dataclass
@@ -191,6 +207,114 @@ def useful(row: dict) -> bool:
     return len(row["full_text"] or "") >= 35 and not low_content_py(row["full_text"] or "", row.get("section_number"))
 
 
+def table_entries(text: str, section: str | None = None, heading: str = "") -> list[tuple[str, str]]:
+    """The (label, value) rows of a table whose cells stand line by line; it ends where a bullet takes a value's place."""
+    lines = [x for x in (" ".join(line.split()) for line in text.splitlines()) if x]
+    for title in ((section or "").strip().strip("."), " ".join(heading.split()).lower()):
+        if title and lines and title in (lines[0].strip("."), lines[0].lower()):
+            del lines[0]
+    found, label = [], None
+    for line in lines:
+        head = line.lower() in TABLE_HEADS or is_table_header(line)
+        if label is not None and line.startswith(BULLETS):
+            break
+        if label is not None and not head and _is_cell(line):
+            found.append((label, line))
+            label = None
+        else:
+            label = None if head else line
+    return found
+
+
+def _is_cell(line: str) -> bool:
+    low = line.lower()
+    return not low.endswith("conditions") and (any(c.isdigit() for c in line) or low in TABLE_WORDS or len(T.tokens_py(line)) <= 4)
+
+
+def conditions_answer(p: Plan, strong: list[dict]) -> Answer | None:
+    """Design conditions as a table, of the first strong chunk that holds one."""
+    if p.attribute_label != "design_conditions":
+        return None
+    for r in strong[:4]:
+        rows = table_entries(r["full_text"], r.get("section_number"), r["heading"])
+        if len(rows) >= TABLE_LEAST:
+            lines = "\n".join(f"- {a}: {b}" for a, b in rows[:TABLE_MOST])
+            return Answer(f"{r['heading'] or 'Design Conditions'}:\n{lines}\n{_place(r)}", citations([r, *strong]), mode="design_conditions")
+    return None
+
+
+def asks_requirement(p: Plan) -> bool:
+    plain = p.request_shape == "scalar" and not (p.attribute_label or p.count_question or p.direct_text_question)
+    return plain and bool(p.intent == "responsibility" or p.answer_family or any(w in p.normalized_query for w in REQUIREMENT_WORDS))
+
+
+def requirement_score(p: Plan, row: dict) -> float:
+    said = best_excerpt(p, row["full_text"] or "", EXCERPT)
+    low = said.lower()
+    s = row["score"] + REQUIREMENT_SYSTEM * bool(p.system_phrase and p.system_phrase in low) + REQUIREMENT_CONCEPT * sum(t in low for t in p.concept_terms)
+    s += REQUIREMENT_NUMBER * len(re.findall(T.NUMBER_WITH_UNIT, said)) + REQUIREMENT_SHORT[0] * (len(said) <= REQUIREMENT_SHORT[1])
+    return s + sum(w for w, pattern in REQUIREMENT_WEIGHTS if re.search(pattern, low))
+
+
+def requirement_order(p: Plan, ranked: list[dict]) -> list[dict]:
+    """The rows by how well they answer a requirement question, if one of the first six is better by a margin than the first bundle's best
+    three; else as they are."""
+    if len(ranked) < 2 or not asks_requirement(p):
+        return ranked
+    score = {r["chunk_id"]: requirement_score(p, r) for r in ranked}
+    first = sorted((r for r in ranked if r.get("bundle_rank") == 1), key=lambda r: r.get("depth", 0))[:3]
+    if not first or max(score[r["chunk_id"]] for r in ranked[:6]) < max(score[r["chunk_id"]] for r in first) + REQUIREMENT_MARGIN:
+        return ranked
+    return sorted(ranked, key=lambda r: -score[r["chunk_id"]])
+
+
+def chosen_first(question: str, ranked: list[dict], choose: Callable[[str, list[str]], int | None] | None) -> list[dict]:
+    """Where the first bundles are close, the one that a chooser (question, texts -> index or None) picks goes first. Its failures and
+    answers out of range change nothing."""
+    heads = {}
+    for r in ranked:
+        if r.get("bundle_rank") is not None:
+            heads.setdefault(r["bundle_rank"], r)
+    best = [heads[k] for k in sorted(heads)][:CHOOSE_FROM]
+    if choose is None or len(best) < 2 or best[0]["bundle_score"] - best[1]["bundle_score"] >= CHOOSE_GAP and best[0]["confidence"] >= CHOOSE_CONFIDENCE:
+        return ranked
+    try:
+        k = choose(question, [f"{_place(r)}\n{T.short_py(r['full_text'], EXCERPT)}" for r in best])
+    except (OSError, RuntimeError, ValueError):
+        return ranked
+    if not isinstance(k, int) or not 0 <= k < len(best):
+        return ranked
+    return sorted(ranked, key=lambda r: r.get("bundle_rank") != best[k]["bundle_rank"])
+
+
+def compressed(p: Plan, text: str) -> str:
+    """The sentences that name the system or the attribute, or two of the question's words (one, if it has but one); all, if none does."""
+    names = tuple(filter(None, (p.system_phrase, *p.system_aliases, *p.system_significant_terms, *p.attribute_terms)))
+    least = min(2, len(p.focus_terms))
+    kept = [s for s in T.sentences_py(text) if names and T.hit_count_py(s, names) or least and T.hit_count_py(s, p.focus_terms) >= least]
+    return " ".join(kept) or " ".join(text.split())
+
+
+def evidence_pack(rows: list[dict], windows: list[dict], most: int) -> str:
+    """Sections and page windows as blocks of text for a generator."""
+    blocks = [f"[{_place(r)}]\n{r['text']}" for r in rows]
+    return "\n\n".join(blocks + [f"[Page {w['page_num']}]\n{T.short_py(w['page_text'], WINDOW)}" for w in windows[:most]])
+
+
+def prompt_context(p: Plan, strong: list[dict], hits: list[dict], windows: list[dict], deep: bool = False, previous: str | None = None) -> str:
+    """What a generator reads: a topic's compressed sections, or excerpts; for a deep or wider answer exact pages and page windows too, and
+    the answer that is to be widened first."""
+    topic = p.retrieval_mode == "topic_summary"
+    wide = deep or previous is not None
+    text = lambda r: compressed(p, r["full_text"]) if topic else r["full_text"]
+    rows = [r | {"text": T.short_py(text(r), DEEP_EXCERPT if wide else EXCERPT)} for r in strong[: DEEP_PARTS if wide else SUMMARY_PARTS]]
+    shown = hits[:DEEP_HITS] if wide else []
+    numbers = {(h.get("document_id"), h["page_num"]) for h in shown}
+    rest = [w for w in windows if (w.get("document_id"), w["page_num"]) not in numbers][:DEEP_WINDOWS] if wide else []
+    pack = evidence_pack(rows, [*shown, *rest], DEEP_HITS + DEEP_WINDOWS)
+    return f"Previous answer:\n{previous}\n\nEvidence:\n{pack}" if previous else pack
+
+
 # --- the cascade ------------------------------------------------------------------------------------------------------------------
 def fact_answer(fact: dict, rows: list[dict]) -> Answer:
     own = next((r for r in rows if r["chunk_id"] == fact["source_chunk_id"]), None)
@@ -226,12 +350,23 @@ def _about(p: Plan, text: str) -> str:
     return " ".join(s for line in text.split("\n") for s in T.sentences_py(line) if not p.system_phrase or p.system_phrase in s.lower()) or text
 
 
-def answer(p: Plan, ranked: list[dict], hits: list[dict], fact: dict | None = None, deep: bool = False, generate: Callable[[str, str], str] | None = None) -> Answer:
-    """The answer to one question: a fact, exact page text, a reference, a list, a value, an extract; a generator's words if one is given
-    and the evidence is strong; else the refusal."""
-    if fact:
+def answer(
+    p: Plan, ranked: list[dict], hits: list[dict], fact: dict | None = None, deep: bool = False, generate: Callable[[str, str], str] | None = None,
+    windows: list[dict] | None = None, previous: str | None = None, choose: Callable[[str, list[str]], int | None] | None = None,
+) -> Answer:
+    """The answer to one question: a fact, exact page text, a reference, a list, a value, a table, an extract; a generator's words if one is
+    given and the evidence is strong; else the refusal. previous: an answer to be widened, which a generator does from it and the evidence;
+    without one the answer is a deep one."""
+    deep = deep or previous is not None
+    if fact and not (previous and generate):
         return fact_answer(fact, ranked)
+    if not fact:
+        ranked = requirement_order(p, chosen_first(p.raw_query, ranked, choose))
     strong = [r for r in ranked[:8] if useful(r) and matches(p, r)]
+    if previous and generate is not None and strong and (said := _said(p, strong, hits, windows, deep, generate, previous)):
+        return said
+    if fact:
+        return fact_answer(fact, ranked)
     if p.section_number:
         own = [r for r in ranked if r.get("section_number") == p.section_number]
         if not own:
@@ -255,23 +390,28 @@ def answer(p: Plan, ranked: list[dict], hits: list[dict], fact: dict | None = No
     if p.request_shape == "broad_topic":
         lines = [f"- {r['heading']}: \"{best_excerpt(p, r['full_text'], 320)}\"" for r in strong[:4]]
         return Answer("\n".join(["The contract addresses this in:", *lines]), citations(strong), mode="broad_topic_summary")
+    if table := conditions_answer(p, strong):
+        return table
     if p.attribute_label in TYPED:
         for r in strong[:3]:
             v = labelled_value(r["full_text"].split("\n"), p.attribute_terms, p.system_phrase) or typed_value(_about(p, r["full_text"]), p.attribute_label)
             if v:
                 return Answer(f"\"{v}\"\n{_place(r)}\nEvidence: \"{best_excerpt(p, r['full_text'], 320)}\"", citations([r, *strong]), mode="compact")
         return refusal()
-    if generate is not None:
-        context = "\n\n".join(f"[{_place(r)}]\n{T.short_py(r['full_text'], DEEP_EXCERPT)}" for r in strong[:6])
-        try:
-            said = generate(p.raw_query, context).strip()
-        except (OSError, RuntimeError, ValueError):
-            said = ""
-        if said:
-            return Answer(said, citations(strong), said == L.REFUSAL, "generated")
+    if generate is not None and (said := _said(p, strong, hits, windows, deep, generate, previous)):
+        return said
     return _extract(p, strong[:2 if deep else 1], deep, "extractive")
 
 
+def _said(p: Plan, strong: list[dict], hits: list[dict], windows: list[dict] | None, deep: bool, generate, previous: str | None) -> Answer | None:
+    """A generator's answer; none if it fails or says nothing."""
+    try:
+        said = generate(p.raw_query, prompt_context(p, strong, hits, windows or [], deep, previous)).strip()
+    except (OSError, RuntimeError, ValueError):
+        return None
+    return Answer(said, citations(strong), said == L.REFUSAL, "generated") if said else None
+
+
 def _place(r: dict) -> str:
     name = f"Section {r['section_number']} - {r['heading']}" if r.get("section_number") else r["heading"]
     return f"{name} (pages {pages_of(r['page_start'], r['page_end'])})"
@@ -287,8 +427,8 @@ _ANSWERS = "question_id string, text string, mode string, refused boolean, n_cit
 class Assistant:
     """Answers questions over a corpus, one by one or in batches."""
 
-    def __init__(self, retriever: Retriever, vocabulary: list[dict] | None = None, generate: Callable[[str, str], str] | None = None):
-        self.retriever, self.match, self.generate = retriever, planner.best_system(vocabulary) if vocabulary else None, generate
+    def __init__(self, retriever: Retriever, vocabulary: list[dict] | None = None, generate: Callable[[str, str], str] | None = None, choose: Callable[[str, list[str]], int | None] | None = None):
+        self.retriever, self.match, self.generate, self.choose = retriever, planner.best_system(vocabulary) if vocabulary else None, generate, choose
 
     def plan(self, question: str, anchor: str | None = None) -> Plan:
         return planner.plan(planner.grounded_question(planner.resolved(question, anchor)), self.match)
@@ -307,22 +447,30 @@ class Assistant:
         found = self.retriever.facts.join(F.broadcast(lookups), (F.col("system_normalized") == F.col("name")) & (F.col("attribute_normalized") == F.col("attribute_label")))  # a few rows for each question
         return fact_hits(found.drop("name").withColumn("score", fact_scores(found)))
 
-    def ask_batch(self, questions: dict[str, str], deep: bool = False, anchors: dict[str, str] | None = None) -> DataFrame:
+    def ask_batch(self, questions: dict[str, str], deep: bool = False, anchors: dict[str, str] | None = None, previous: dict[str, str] | None = None) -> DataFrame:
         """Answers to a stated set of questions {id: text}. All questions share each step's job; confident facts skip recall; each
-        question's evidence, a few dozen rows, meets in one group at the end."""
+        question's evidence, a few dozen rows, meets in one group at the end. previous: answers to be widened, by question."""
+        previous = previous or {}
         plans = {q: self.plan(t, (anchors or {}).get(q)) for q, t in questions.items()}
         spark = self.retriever.chunks.sparkSession
         sure = {r["question_id"]: r["fact"].asDict() for r in self.fact_hits(plans).where("fact IS NOT NULL").collect()}
-        open_ = {q: p for q, p in plans.items() if q not in sure} or plans
+        open_ = {q: p for q, p in plans.items() if q not in sure or q in previous} or plans
         evidence = self.retriever.retrieve(open_, deep).where("position IS NOT NULL").groupBy("question_id", "chunk_id").agg(F.max_by(F.struct("*"), F.col("bundle_score")).alias("e")).select("e.*")
+        wide = self.generate is not None and (deep or bool(previous))  # only a generator reads page windows
+        if wide:
+            evidence = stored(evidence, "evidence")
         hits = self.retriever.page_hits(plans)
         own = spark.createDataFrame([(q, f["source_chunk_id"]) for q, f in sure.items()], "question_id string, chunk_id string")
         sources = self.retriever.rows.join(F.broadcast(own), "chunk_id")  # one row for each question
         dump = lambda df: df.select("question_id", F.to_json(F.struct("*")).alias("j"))
         kinds = [dump(evidence).withColumn("kind", F.lit("chunk")), dump(hits).withColumn("kind", F.lit("page")), dump(sources).withColumn("kind", F.lit("source")), spark.createDataFrame([(q, "{}", "question") for q in plans], "question_id string, j string, kind string")]
+        if wide:
+            kinds.append(dump(self.page_windows(evidence)).withColumn("kind", F.lit("window")))
         every = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
+        for x in kinds[4:]:
+            every = every.unionByName(x)
         shared = spark.sparkContext.broadcast(({q: asdict(p) for q, p in plans.items()}, sure))
-        generate = self.generate
+        generate, choose = self.generate, self.choose
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             dumped, facts = shared.value
@@ -332,18 +480,27 @@ class Assistant:
             blank = {"section_number": None, "parent_heading": None, "parent_chunk_id": None}
             ranked = [blank | r for r in sorted(load("chunk"), key=lambda r: r["position"])] + [blank | r for r in load("source")]
             pages = sorted(load("page"), key=lambda r: r["rank"])
-            a = answer(p, ranked, pages, facts.get(q), deep, generate)
+            windows = sorted(load("window"), key=lambda r: (r["position"], r["page_num"]))
+            a = answer(p, ranked, pages, facts.get(q), deep, generate, windows, previous.get(q), choose)
             return pd.DataFrame([(q, a.text, a.mode, a.refused, len(a.citations), json.dumps([asdict(c) for c in a.citations]))], columns=["question_id", "text", "mode", "refused", "n_citations", "citations"])
 
         return every.groupBy("question_id").applyInPandas(run, _ANSWERS)
 
-    def ask(self, question: str, history: list[dict] | None = None, deep: bool = False) -> Answer:
-        """The answer to one question; history: earlier turns {role, content}, for follow-ups."""
+    def page_windows(self, evidence: DataFrame) -> DataFrame:
+        """(question_id, document_id, page_num, page_text, position): the first two pages of each question's first four chunks, each once."""
+        w = evidence.where("position <= 4").withColumn("page_num", F.explode(F.sequence("page_start", F.least(F.greatest("page_start", "page_end"), F.col("page_start") + 1))))
+        w = w.groupBy("question_id", "document_id", "page_num").agg(F.min("position").alias("position"))
+        return self.retriever.pages.select("document_id", "page_num", "page_text").join(F.broadcast(w), ["document_id", "page_num"])  # at most eight rows a question
+
+    def ask(self, question: str, history: list[dict] | None = None, deep: bool = False, expand_answer: bool = False, previous_answer: str | None = None) -> Answer:
+        """The answer to one question; history: earlier turns {role, content}, for follow-ups. expand_answer widens previous_answer, or else
+        the last answer of the history."""
         anchor = None
         if history:
             turns = [("c", k, h.get("role"), h.get("content")) for k, h in enumerate(history[-planner.HISTORY :])] + [("c", 10**6, "user", question)]
             t = planner.follow_up_anchors(self.retriever.chunks.sparkSession.createDataFrame(turns, "conv_id string, turn long, role string, text string"))
             row = t.where("turn = 1000000").first()
             anchor = row["anchor"] if row and row["follow_up"] else None
-        r = self.ask_batch({"q": question}, deep, {"q": anchor} if anchor else None).first()
+        earlier = previous_answer or next((h.get("content") or "" for h in reversed(history or []) if h.get("role") == "assistant"), "")
+        r = self.ask_batch({"q": question}, deep, {"q": anchor} if anchor else None, {"q": earlier} if expand_answer else None).first()
         return Answer(r["text"], [Citation(**c) for c in json.loads(r["citations"])], r["refused"], r["mode"])
