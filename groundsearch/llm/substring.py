@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +17,12 @@ from groundsearch.llm.common import arrow_batches, documents, map_arrow, utf8, w
 
 #: Words of a seed: windows are compared only where the lowest seed in them is repeated.
 SEED = 8
-#: Words of a window, and the step of the windows looked at. The first less SEED is a multiple of the second: see Words.
-WINDOW, STEP = 40, 4
+#: Words of a window, and the step from one window to the next: every window is looked at.
+WINDOW, STEP = 40, 1
 #: Adjacent repeated units are removed where they have at least so many words together.
 MIN_WORDS = 20
 
-#: Rows of units that a worker gathers before it hands them on.
+#: Rows that a worker gathers before it hands them on.
 ROWS = 1 << 16
 
 _SPACE = np.zeros(256, bool)
@@ -30,38 +32,57 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 class Words:
     """The words of a UTF-8 text, and its units: byte starts and ends of the words; units begin at the words `first` and have `count` words.
 
-    A line of fewer than `window` words is a unit. So is a window of `window` adjacent words, whatever lines they stand in, if it begins a
-    multiple of `step` words before its seed, which is the lowest hash of SEED adjacent words in it (of equal ones the first).
+    A line of fewer than `window` words is a unit, and so is every window of `window` adjacent words, whatever lines they stand in. A repeated
+    passage of at least `window` words is thus covered by units that are repeated, up to its ends.
 
-    A repeated passage of at least window + step - 1 words has such windows at each of its occurrences, and they are the same: what is a
-    unit depends on the window's words alone. Moving on by a word, a window keeps its seed, which comes one word nearer; or the seed was its
-    first words and falls out, 0 before; or a lower one comes in as its last words, window - SEED before. Both are multiples of `step`, so of
-    `step` windows in a row one is a unit, and at most step - 1 words at either end of a passage are in none.
+    A window's seed is the lowest hash of SEED adjacent words in it (of equal ones the first), so equal windows have equal seeds. The windows
+    that have their seed at one place begin at adjacent words, since a seed that is lowest in two windows is lowest in all between: they make
+    a bundle, and bundles of equal words consist of equal windows.
     """
 
-    def __init__(self, text: bytes, window: int = WINDOW, step: int = STEP):
-        self.words = text.lower().split()
-        k, a = len(self.words), np.frombuffer(text, np.uint8)
+    def __init__(self, text: bytes, window: int = WINDOW):
+        self.text, self.window, a = text, window, np.frombuffer(text, np.uint8)
         edge = np.diff(np.concatenate(([True], _SPACE[a], [True])).astype(np.int8))
         self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.joined = b" ".join(self.words)
-        self.place = np.concatenate(([0], np.cumsum(np.fromiter(map(len, self.words), np.int64, k) + 1)))
+        self.size = k = len(self.starts)
         line = np.searchsorted(np.flatnonzero(a == 10), self.starts)
         head = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))[:k])
         size = np.diff(np.append(head, k))
-        head, size = head[size < window], size[size < window]
-        begins, seed, value = self._windows(k, window, step)
-        first = np.concatenate((begins, head))
-        order = np.argsort(first, kind="stable")
-        self.first, self.count = first[order], np.concatenate((np.full(len(begins), window), size))[order]
-        self.wide = np.concatenate((np.ones(len(begins), bool), np.zeros(len(head), bool)))[order]
-        self.seed, self.value = np.concatenate((seed, head))[order], np.concatenate((value, np.zeros(len(head), np.uint64)))[order]
-
-    def _windows(self, k: int, window: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First words, seeds' first words and seeds' hashes of the windows that are units."""
-        if k < window:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        m = min(SEED, window)
+        #: First words and sizes of the lines that are units; number of windows.
+        self.lines, self.sizes, self.windows = head[size < window], size[size < window], max(0, k - window + 1)
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.text.lower().split()
+
+    @cached_property
+    def joined(self) -> bytes:
+        return b" ".join(self.words)
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Where the words begin in `joined`."""
+        return np.concatenate(([0], np.cumsum(np.fromiter(map(len, self.words), np.int64, self.size) + 1)))
+
+    @cached_property
+    def _order(self) -> np.ndarray:
+        return np.argsort(np.concatenate((np.arange(self.windows), self.lines)), kind="stable")
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        return np.concatenate((np.arange(self.windows), self.lines))[self._order]
+
+    @cached_property
+    def count(self) -> np.ndarray:
+        return np.concatenate((np.full(self.windows, self.window), self.sizes))[self._order]
+
+    @cached_property
+    def bundles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First window, number of windows, place of the seed and its hash, of each bundle in order."""
+        k, m = self.size, min(SEED, self.window)
+        if not self.windows:
+            none = np.zeros(0, np.int64)
+            return none, none, none, np.zeros(0, np.uint64)
         h = np.fromiter(map(zlib.crc32, self.words), np.uint64, k)
         h = (h + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
@@ -71,21 +92,37 @@ class Words:
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
-        low = np.lib.stride_tricks.sliding_window_view(x, window - m + 1).argmin(axis=1)
-        begins = np.flatnonzero(low % step == 0)
-        at = begins + low[begins]
-        return begins, at, x[at]
+        at = lowest(x, self.window - m + 1)
+        begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        return begin, np.diff(np.append(begin, len(at))), at[begin], x[at[begin]]
+
+    def bytes_of(self, first: np.ndarray, count: np.ndarray | int) -> Iterator[bytes]:
+        """The `count` words from each of `first` on, A-Z lower-cased and joined by single spaces."""
+        text, begin, stop = self.joined, self.place[first], self.place[first + count] - 1
+        return (text[s:e] for s, e in zip(begin.tolist(), stop.tolist(), strict=True))
+
+    def hashes(self, first: np.ndarray, count: np.ndarray | int) -> np.ndarray:
+        """64-bit digests of these words."""
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.bytes_of(first, count)), np.uint64, len(first)).view(np.int64)
 
     def digests(self, which: np.ndarray) -> list[bytes]:
-        """16-byte digests of the words, A-Z lower-cased and joined by single spaces, of the units `which`."""
-        begin, stop = self.place[self.first[which]], self.place[self.first[which] + self.count[which]] - 1
-        return [xxhash.xxh3_128_digest(self.joined[s:e]) for s, e in zip(begin.tolist(), stop.tolist(), strict=True)]
+        """16-byte digests of the words of the units `which`."""
+        return list(map(xxhash.xxh3_128_digest, self.bytes_of(self.first[which], self.count[which])))
+
+    def line_digests(self) -> np.ndarray:
+        """The two halves of the 16-byte digests of the lines."""
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.bytes_of(self.lines, self.sizes))), "<i8").reshape(-1, 2)
 
-    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each unit the hash of its seed and a number for where that is: twice its first word, plus 1 for a line, whose seed is itself."""
-        value, short = self.value.copy(), np.flatnonzero(~self.wide)
-        value[short] = np.frombuffer(b"".join(d[:8] for d in self.digests(short)), "<u8")
-        return value, 2 * self.seed + ~self.wide
+
+def lowest(x: np.ndarray, n: int) -> np.ndarray:
+    """For each n adjacent values of x the place of the lowest, of equal ones the first."""
+    at, span = np.arange(len(x)), 1
+    while span < n:
+        step = min(span, n - span)
+        left, right = at[:-step], at[step:]
+        at = np.where(x[right] < x[left], right, left)
+        span += step
+    return at
 
 
 def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -94,82 +131,144 @@ def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]
     return w.starts[w.first], w.ends[w.first + w.count - 1], w.count, w.digests(np.arange(len(w.first)))
 
 
-def seed_table(docs: DataFrame, window: int, step: int) -> DataFrame:
-    """(key, h, p, twice) for each different seed of each text of docs (key, text): its hash, where it is, and whether the text has it again."""
+def repeats_within(digests: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which of the units, in order, the text had before, where the earliest of their digest does not overlap them."""
+    _, where, which = np.unique(digests, return_index=True, return_inverse=True)
+    early = where[which]
+    return (early < np.arange(len(digests))) & (first >= first[early] + count[early])
+
+
+def windows_of(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """First words of the windows of bundles."""
+    stop = np.cumsum(n)
+    return np.arange(stop[-1] if len(n) else 0) - np.repeat(stop - n - begin, n)
+
+
+def bundle_table(docs: DataFrame, window: int) -> DataFrame:
+    """A row for each bundle and each line of each text of docs (doc_id, key, text): doc_id, key, h (hash of the seed), d (digest of all its
+    words; h and d make 128 bits), at (twice its first word, plus 1 for a line) and n (its windows, or words of the line). Rows without h are
+    what the text had before, see repeats_within: a line, or n windows from `at` on.
+    """
+
+    def run(batches):
+        for batch in batches:
+            owner, columns, waiting = [], [], 0
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owner, hashes, places, again = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        for k, text in enumerate(utf8(batch, "text")):
-            value, at = Words(text or b"", window, step).seeds()
-            at, one = np.unique(at, return_index=True)
-            value = value[one]
-            _, which, n = np.unique(value, return_inverse=True, return_counts=True)
-            owner.append(np.full(len(at), k))
-            hashes.append(value)
-            places.append(at)
-            again.append(n[which] > 1)
-        arrays = [batch.column("key").take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(again))]
-        return pa.RecordBatch.from_arrays(arrays, ["key", "h", "p", "twice"])
+            def done():
+                h, d, at, n = (np.concatenate([np.zeros(0, np.int64), *(c[i] for c in columns)]) for i in range(4))
+                rows = pa.array(np.concatenate([np.zeros(0, np.int64), *owner]))
+                arrays = [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(h, mask=n < 0), pa.array(d, mask=n < 0), pa.array(at, pa.int32()), pa.array(np.abs(n), pa.int32())]
+                return pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "h", "d", "at", "n"])
+
+            for k, text in enumerate(utf8(batch, "text")):
+                w = Words(text or b"", window)
+                begin, n, _, value = w.bundles
+                both = w.line_digests()
+                rows = [(value.view(np.int64), w.hashes(begin, n + window - 1), 2 * begin, n), (both[:, 0], both[:, 1], 2 * w.lines + 1, w.sizes)]
+                # equal windows have equal seeds, so only seeds that the text has again are looked at
+                _, which, times = np.unique(value, return_inverse=True, return_counts=True)
+                again = times[which] > 1
+                if again.any():
+                    first = windows_of(begin[again], n[again])
+                    first = first[repeats_within(w.hashes(first, window), first, np.full(len(first), window))]
+                    head = np.flatnonzero(np.diff(first, prepend=-2) != 1)
+                    rows.append((first[head], first[head], 2 * first[head], -np.diff(np.append(head, len(first)))))
+                again = repeats_within(both[:, 1], w.lines, w.sizes)
+                rows.append((w.lines[again], w.lines[again], 2 * w.lines[again] + 1, -w.sizes[again]))
+                columns += rows
+                owner += [np.full(len(r[0]), k) for r in rows]
+                waiting += sum(len(r[0]) for r in rows)
+                if waiting >= ROWS:
+                    yield done()
+                    owner, columns, waiting = [], [], 0
+            yield done()
 
-    return map_arrow(docs.select("key", "text"), run, "key long, h long, p int, twice boolean")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    arrow_batches(docs.sparkSession)
+    return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key long, h long, d long, at int, n int")
 
 
-def unit_table(docs: DataFrame, window: int, step: int) -> DataFrame:
-    """A row for each unit of each text of docs (doc_id, key, text, places) whose seed is at one of `places`: doc_id, key, d1, d2 (digest), and
-    at: twice its number among the text's units, plus 1 if the text had that digest before."""
+def window_table(docs: DataFrame, window: int) -> DataFrame:
+    """A row for each window of the `bundles` (array of h, at, n) of each text of docs (doc_id, key, text): doc_id, key, h, x (digest of its
+    words; h and x make 128 bits) and at (twice its first word)."""
 
     def run(batches):
         for batch in batches:
-            owner, digests, at = [], [], []
+            owner, columns, waiting = [], [], 0
 
             def done():
-                both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                rows = pa.array(owner, pa.int64())
-                arrays = [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(at, pa.int32())]
-                return pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "d1", "d2", "at"])
-
-            for k, (text, places) in enumerate(zip(utf8(batch, "text"), batch.column("places"), strict=True)):
-                w = Words(text or b"", window, step)
-                which = np.flatnonzero(np.isin(w.seeds()[1], places.values.to_numpy()))
-                found, seen = w.digests(which), set()
-                for n, d in zip(which.tolist(), found, strict=True):
-                    at.append(2 * n + (d in seen))
-                    seen.add(d)
-                digests += found
-                owner += [k] * len(found)
-                if len(at) >= ROWS:
+                h, x, first = (np.concatenate([np.zeros(0, np.int64), *(c[i] for c in columns)]) for i in range(3))
+                rows = pa.array(np.concatenate([np.zeros(0, np.int64), *owner]))
+                arrays = [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(h), pa.array(x), pa.array(2 * first, pa.int32())]
+                return pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "h", "x", "at"])
+
+            for k, (text, bundles) in enumerate(zip(utf8(batch, "text"), batch.column("bundles"), strict=True)):
+                w = Words(text or b"", window)
+                h, at, n = (bundles.values.field(c).to_numpy() for c in ("h", "at", "n"))
+                first = windows_of(at // 2, n)
+                columns.append((np.repeat(h, n), w.hashes(first, window), first))
+                owner.append(np.full(len(first), k))
+                waiting += len(first)
+                if waiting >= ROWS:
                     yield done()
-                    owner, digests, at = [], [], []
+                    owner, columns, waiting = [], [], 0
             yield done()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow_batches(docs.sparkSession)
-    return docs.select("doc_id", "key", "text", "places").mapInArrow(run, f"doc_id {kind}, key long, d1 long, d2 long, at int")
+    return docs.select("doc_id", "key", "text", "bundles").mapInArrow(run, f"doc_id {kind}, key long, h long, x long, at int")
 
 
-def spans_of(text: bytes, repeated: list[int] | None, min_words: int, window: int = WINDOW, step: int = STEP) -> list[tuple[int, int, int]]:
-    """(start, stop, units) of runs of adjacent or overlapping repeated units, given by their numbers, that have at least min_words words.
+def repeated_units(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, key, at, n) of all units of docs (doc_id, key, text) that are not the first of their words: as in bundle_table.
 
-    A repeated unit that overlaps its first occurrence, where that stays, as in a word over and over, is left. None: the whole text is repeated.
+    Of bundles of equal words all windows of those not in the first document are repeated, whatever else has them. So single windows need
+    comparing only among the bundles of the first documents, and there only where bundles of different words have one seed.
+    """
+    table = written(bundle_table(docs, window), "substring-bundles")
+    within = table.where("h IS NULL").select("doc_id", "key", "at", "n")
+    table = table.where("h IS NOT NULL")
+    often = table.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("h")
+    table = written(table.join(often, "h").select(*table.columns), "substring-repeated")
+    equal = table.groupBy("h", "d").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first"))
+    mixed = equal.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("mixed"))
+    equal = equal.join(mixed, "h", "left").where("rows > 1 OR mixed").select("h", "d", "first", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first"))
+    joined = written(table.join(equal, ["h", "d"]).where(~stays | F.col("mixed") & (F.col("at") % 2 == 0)).select("doc_id", "key", "h", "at", "n", (~stays).alias("later")), "substring-compared")
+    later = joined.where("later").select("doc_id", "key", "at", "n")
+    looked = joined.where("NOT later").groupBy(F.col("doc_id").alias("b_doc"), F.col("key").alias("b_key")).agg(F.collect_set(F.struct("h", "at", "n")).alias("bundles"))
+    looked = docs.join(looked, F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("key") == F.col("b_key")))
+    windows = written(window_table(looked, window), "substring-windows")
+    groups = windows.groupBy("h", "x").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first")).where("rows > 1").select("h", "x", "first")
+    single = windows.join(groups, ["h", "x"]).where(~stays).select("doc_id", "key", "at", F.lit(1).alias("n"))
+    return later.union(single).union(within)
+
+
+def spans_of(text: bytes, repeated: list[dict] | None, min_words: int, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(start, stop, units) of runs of adjacent or overlapping repeated units, as of repeated_units, that have at least min_words words.
+
+    None: the whole text is repeated.
     """
-    w = Words(text, window, step)
+    w = Words(text, window)
     if repeated is None:
-        return [(int(w.starts[0]), int(w.ends[-1]), len(w.first))] if len(w.words) >= min_words else []
-    again, first = set(repeated), {}
-    for n, d in enumerate(w.digests(np.arange(len(w.first)))):
-        first.setdefault(d, n)
-        if n in again and first[d] not in again and w.first[n] < w.first[first[d]] + w.count[first[d]]:
-            again.discard(n)
-    out, run = [], None
-    for k in [*sorted(again), None]:
-        if run and (k is None or w.first[k] > run[1]):
-            if run[1] - run[0] >= min_words:
-                out.append((int(w.starts[run[0]]), int(w.ends[run[1] - 1]), run[2]))
-            run = None
-        if k is not None:
-            begin, stop = int(w.first[k]), int(w.first[k] + w.count[k])
-            run = [run[0], max(run[1], stop), run[2] + 1] if run else [begin, stop, 1]
-    return out
+        return [(int(w.starts[0]), int(w.ends[-1]), w.windows + len(w.lines))] if w.size >= min_words else []
+    at, n = (np.array([u[c] for u in repeated], np.int64) for c in ("at", "n"))
+    line, first = at % 2 == 1, at // 2
+    # windows and lines by their first words, and how many units cover each word
+    begins = np.zeros((2, w.size + 1), np.int64)
+    np.add.at(begins[0], first[~line], 1)
+    np.add.at(begins[0], (first + n)[~line], -1)
+    begins = np.stack((np.cumsum(begins[0]) > 0, begins[1])).astype(np.int64)
+    begins[1, first[line]] = 1
+    cover = begins[0].copy()
+    wide = np.flatnonzero(begins[0])
+    cover[wide + window] -= 1
+    lines, one = np.unique(first[line], return_index=True)
+    cover[lines] += 1
+    cover[lines + n[line][one]] -= 1
+    edge = np.diff(np.concatenate(([0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0])))
+    counted = np.concatenate(([0], np.cumsum(begins.sum(axis=0))))
+    return [(int(w.starts[s]), int(w.ends[e - 1]), int(counted[e] - counted[s])) for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True) if e - s >= min_words]
 
 
 def without(text: bytes, spans: list[tuple[int, int, int]]) -> bytes:
@@ -186,19 +285,20 @@ def without(text: bytes, spans: list[tuple[int, int, int]]) -> bytes:
     return out.rstrip() if at >= len(text) and spans else out
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, step: int = STEP) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """The columns of docs (doc_id, text, any others) with repeated passages cut out of text, and n_removed (units), removed (array of
     start, stop: code points in the original text).
 
-    Units are the lines of fewer than `window` words and the windows of Words. They are grouped by digest over the whole table; of each group
-    the unit of the smallest doc_id (null last), and there the first, stays. Others are removed where they form runs of at least min_words
-    words, so short lines that recur by chance stay. Of rows whose whole text is equal those of the smallest doc_id stay, and the others
-    count as repeated throughout, without a look at their units.
+    Units are the lines of fewer than `window` words and all windows of `window` adjacent words. They are grouped by their words over the whole
+    table; of each group the unit of the smallest doc_id (null last), and there the first, stays, with those that overlap it, as in a word
+    over and over. Others are removed where they form runs of at least min_words words, so short lines that recur by chance stay. Of rows
+    whose whole text is equal those of the smallest doc_id stay, and the others count as repeated throughout, without a look at their units.
 
     Equal units have equal seeds, and seeds are fewer, so first the seeds that come more than once in different texts are found, and only
-    units that have one of those are compared. Groups are counted by partial aggregation and join back as rows, never as lists, so a unit
-    that a third of all documents share is no hot task beyond what skew handling splits. Rows with one doc_id count as one document:
-    repeated rows give equal results. Null texts stay null, a text that is all repeated becomes empty; an empty table gives no rows.
+    units that have one of those are compared: first as bundles of windows, then the windows of unequal bundles. Groups are counted by partial
+    aggregation and join back as rows, never as lists, so a unit that a third of all documents share is no hot task beyond what skew handling
+    splits. Rows with one doc_id count as one document: repeated rows give equal results. Null texts stay null, a text that is all repeated
+    becomes empty; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -210,19 +310,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
     narrow = docs.select("doc_id", key.alias("key"), other.alias("other"))
     heads = narrow.groupBy("key", "other").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "other", "head")
     copies = narrow.join(heads, ["key", "other"]).where(~F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "key").distinct()
-    seeds = written(seed_table(keyed, window, step), "substring-seeds")
-    often = seeds.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("twice").alias("twice")).where("a <> b OR twice").select("h")
-    # two texts of one key, if ever, share their places: more units are compared then, with the same result
-    places = seeds.join(often, "h").groupBy("key").agg(F.collect_set("p").alias("places"))
-    heads = heads.groupBy("key").agg(F.collect_list(F.struct("other", "head")).alias("heads"))  # one, but where texts of one key differ
-    here = F.forall("heads", lambda x: (x["other"] != F.col("other")) | x["head"].eqNullSafe(F.col("doc_id")))
-    looked = keyed.join(places.join(heads, "key", "left"), "key").where(F.coalesce(here, F.lit(True)))
-    table = written(unit_table(looked, window, step), "substring-units")
-    groups = table.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("d1", "d2", "first")
-    later = table.join(groups, ["d1", "d2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("at") % 2 == 0)))
     # rows that are equal in doc_id and text give their units twice; one is enough
-    found = later.groupBy("doc_id", "key").agg(F.collect_set(F.shiftright("at", 1)).alias("units"))
-    found = found.select("doc_id", "key", "units", F.lit(False).alias("copy")).union(copies.select("doc_id", "key", F.lit(None).cast("array<int>"), F.lit(True)))
+    found = repeated_units(keyed.select("doc_id", "key", "text"), window).groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "n")).alias("units"))
+    found = found.select("doc_id", "key", "units", F.lit(False).alias("copy")).union(copies.select("doc_id", "key", F.lit(None).cast(found.schema["units"].dataType), F.lit(True)))
     found = found.groupBy(F.col("doc_id").alias("u_doc"), F.col("key").alias("u_key")).agg(F.first("units", ignorenulls=True).alias("u_units"), F.max("copy").alias("u_copy"))
     joined = docs.withColumn("u_k", key).join(found, F.col("doc_id").eqNullSafe(F.col("u_doc")) & (F.col("u_k") == F.col("u_key")), "left").select(*names, "u_units", "u_copy")
     arrow_batches(spark)
@@ -234,7 +324,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
         for batch in batches:
             texts, out, counts, places = utf8(batch, "text"), [], [], []
             for text, repeated, copy in zip(texts, batch.column("u_units").to_pylist(), batch.column("u_copy").to_pylist(), strict=True):
-                spans = spans_of(text, None if copy else repeated, min_words, window, step) if text and (copy or repeated) else []
+                spans = spans_of(text, None if copy else repeated, min_words, window) if text and (copy or repeated) else []
                 out.append(without(text, spans) if spans else text)
                 counts.append(sum(n for *_, n in spans))
                 chars = [(len(text[:s].decode()), len(text[s:e].decode())) for s, e, _ in spans]

@@ -173,3 +173,45 @@ def test_passages_in_the_middle_of_lines_go_but_for_a_few_words(spark):
         left = len(got[2 * n + 1].split()) - 60
         assert left == 30 + n if 30 + n < S.WINDOW else left <= 2 * (S.STEP - 1) if 30 + n >= S.WINDOW + S.STEP - 1 else left <= 30 + n
     assert len(got[500].split()) < 2 * S.WINDOW and got[501] == "x y"
+
+
+def left_by_all_windows(rows):
+    """Over (doc_id, words) of different texts: the words that stay if all windows of WINDOW words that came before go, whatever their place."""
+    seen, out = set(), {}
+    for d, w in sorted(rows):
+        windows = [tuple(w[i : i + S.WINDOW]) for i in range(len(w) - S.WINDOW + 1)]
+        gone, here = set(), {}
+        for i, x in enumerate(windows):
+            if x in seen or i >= here.setdefault(x, i) + S.WINDOW:
+                gone.update(range(i, i + S.WINDOW))
+        seen.update(windows)
+        out[d] = [x for i, x in enumerate(w) if i not in gone]
+    return out
+
+
+def test_repeated_passages_of_a_window_and_more_go_whole(spark):
+    rng, rows, fresh = random.Random(5), [], iter(range(10**6))
+    for n in range(60):
+        p = words(rng, S.WINDOW + n % 30)
+        for d in (2 * n, 2 * n + 1):
+            rows.append((d, [f"u{next(fresh)}" for _ in range(rng.randint(0, 70))] + p + [f"u{next(fresh)}" for _ in range(rng.randint(0, 70))]))
+    got = {r.doc_id: r for r in S.dedup_substrings(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()}
+    for d, w in rows:
+        assert got[d].text.split() == (w if d % 2 == 0 else [x for x in w if x[0] == "u" and x[1:].isdigit()])
+        assert got[d].n_removed == (d % 2) * (d // 2 % 30 + 1)
+
+
+def test_windows_of_passages_that_overlap_in_many_ways(spark):
+    rng, rows = random.Random(6), []
+    source = words(rng, 400)
+    for d in range(80):
+        w = []
+        for _ in range(rng.randint(1, 4)):
+            s = rng.randint(0, 340)
+            part = source[s : s + rng.randint(20, 120)]
+            w += [*words(rng, rng.randint(0, 9)), *part, *(part if rng.random() < 0.3 else []), *(words(rng, rng.randint(1, 3)) * 30 if rng.random() < 0.2 else [])]
+        rows.append((d, w))
+    want = left_by_all_windows(rows)
+    got = S.dedup_substrings(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(7)).collect()
+    # a text of fewer than WINDOW words is a line, which goes where another text is that line
+    assert {r.doc_id: r.text.split() for r in got if len(dict(rows)[r.doc_id]) >= S.WINDOW} == {d: w for d, w in want.items() if len(dict(rows)[d]) >= S.WINDOW}
