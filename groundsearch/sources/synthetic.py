@@ -21,5 +21,9 @@ from part
 
 
 def contract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(document_id, page_num, page_text): four documents with articles, exhibits, sections, bullets, tables and definitions."""
-    return spark.sql(PAGES_SQL.replace("from part", "from {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    """(document_id, page_num, page_text): four documents with articles, exhibits, sections, bullets, tables and definitions.
+
+    The rows are dealt out by key before they become pages: a file of them is small, and what is made of it large.
+    """
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").repartition(spark.sparkContext.defaultParallelism * 4, "p_partkey")
+    return spark.sql(PAGES_SQL.replace("from part", "from {part}"), part=part)
