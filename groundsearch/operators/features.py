@@ -12,10 +12,11 @@ from groundsearch.functions import text as T
 def features(chunks: DataFrame) -> DataFrame:
     """A row for each chunk: the parent's heading, normalised and search text, actor, action and topic tags, noise flags.
 
-    The parent is one equi-join on chunk id; everything else is within the row.
+    The parent is one equi-join on chunk id; everything else is within the row, much work for each, for which rows are dealt anew.
     """
     parents = chunks.select(F.col("chunk_id").alias("p_id"), F.col("heading").alias("parent_heading"))
     c = chunks.join(parents, F.col("parent_chunk_id") == F.col("p_id"), "left").withColumn("parent_heading", F.coalesce("parent_heading", F.lit("")))
+    c = c.repartition(chunks.sparkSession.sparkContext.defaultParallelism * 4, "chunk_id")
     heading, parent, body = T.norm(F.col("heading")), T.norm(F.col("parent_heading")), T.norm(F.col("full_text"))
     c = c.withColumns({"n_h": heading, "n_p": parent, "n_b": body})
     some = lambda *xs: F.filter(F.array(*xs), lambda x: x != "")
