@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,42 +18,85 @@ from groundsearch.functions import text as T
 DIMENSION, TOKEN_WEIGHT, TRIGRAM_WEIGHT = 512, 1.0, 0.35
 
 
-def embedding_features(text: Column) -> Column:
-    """Array of (feature, weight): each token and each character trigram of the lower-cased text, with repeats."""
+#: Characters and rows that are embedded together.
+SLICE_CHARS, SLICE_ROWS = 1 << 20, 1024
 
-    def of(low: Column) -> Column:
-        tok = F.transform(T.tokens(low, "query"), lambda t: F.struct(F.concat(F.lit("tok:"), t).alias("f"), F.lit(TOKEN_WEIGHT).alias("w")))
-        return F.concat(tok, T.let(F.replace(low, F.lit(" "), F.lit("_")), trigrams))
 
-    def trigrams(flat: Column) -> Column:
-        """From an array of characters, as reaching into a string by position takes its length each time."""
-        return T.let(F.split(flat, ""), lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.struct(F.concat(F.lit("tri:"), x, F.get(c, i + 1), F.get(c, i + 2)).alias("f"), F.lit(TRIGRAM_WEIGHT).alias("w"))))
+@lru_cache(1 << 17)
+def hashed(feature: str) -> tuple[int, int]:
+    """(number, sign) of a feature by its SHA-1; the number modulo the dimension is its bucket."""
+    h = hashlib.sha1(feature.encode()).digest()
+    return int.from_bytes(h[:4], "big"), 1 - 2 * (h[4] % 2)
 
-    return T.let(T.clean(F.lower(text)), of)
 
+def _slices(texts: list[str]):
+    first = chars = 0
+    for k, t in enumerate(texts):
+        if k > first and (chars + len(t) > SLICE_CHARS or k - first >= SLICE_ROWS):
+            yield texts[first:k]
+            first, chars = k, 0
+        chars += len(t)
+    if texts[first:]:
+        yield texts[first:]
 
-def bucket(feature: Column, dimension: int = DIMENSION) -> tuple[Column, Column]:
-    """(bucket, sign) of a feature by its SHA-1."""
-    h = F.sha1(feature)
-    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dimension).cast("int"), F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+
+def _counted(codes: np.ndarray, rows: np.ndarray, names: list[str], n: int, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of signs, whether touched) of each row's buckets; codes: each feature's place in names, which is hashed once."""
+    number, sign = (np.fromiter(x, np.int64, len(names)) for x in (zip(*map(hashed, names), strict=True) if names else ((), ())))
+    at = rows * dimension + (number % dimension)[codes]
+    return np.bincount(at, sign[codes].astype(float), n * dimension).reshape(n, dimension), np.bincount(at, minlength=n * dimension).reshape(n, dimension) > 0
+
+
+def sums(lows: list[str], dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, touched), a row for each cleaned, lower-cased text: the weights of its tokens and character trigrams, with repeats, added up in
+    their buckets. Signs are counted as whole numbers, so that equal texts have equal values; each different feature is hashed once."""
+    n = len(lows)
+    flats = [x.replace(" ", "_") for x in lows]
+    points = np.frombuffer("".join(flats).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    rows = np.repeat(np.arange(n), [len(x) for x in flats])
+    inside = rows[:-2] == rows[2:]
+    codes, kinds = pd.factorize(((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[inside])
+    tri, t1 = _counted(codes, rows[:-2][inside], [f"tri:{chr(k >> 42)}{chr(k >> 21 & 0x1FFFFF)}{chr(k & 0x1FFFFF)}" for k in kinds.tolist()], n, dimension)
+    words = [T.tokens_py(x) for x in lows]
+    seen: dict[str, int] = {}
+    codes = np.fromiter((seen.setdefault(w, len(seen)) for ws in words for w in ws), np.int64)
+    tok, t2 = _counted(codes, np.repeat(np.arange(n), [len(ws) for ws in words]), [f"tok:{w}" for w in seen], n, dimension)
+    return tok * TOKEN_WEIGHT + tri * TRIGRAM_WEIGHT, t1 | t2
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows dealt anew, for tables of few files: much work for each row."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4)
 
 
 def sparse_embedding(df: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
-    """(key, bucket, value): the embedding before normalising, by built-in functions and one aggregation, whose partial sums leave at most
-    `dimension` rows of a text to move."""
-    f = df.select(key, F.explode(embedding_features(F.col(text))).alias("x"))
-    b, sign = bucket(F.col("x.f"), dimension)
-    return f.select(key, b.alias("bucket"), (sign * F.col("x.w")).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("value"))
+    """(key, bucket, value): the embedding before normalising, of every bucket that a feature falls into. Texts are hashed in Arrow batches,
+    which leave at most `dimension` rows of a text to move; one aggregation joins rows of equal keys."""
+    kind = df.schema[key].dataType
+
+    def run(batches):
+        for batch in batches:
+            keys, lows, first = batch.column(0), batch.column(1).to_pylist(), 0
+            for part in _slices(lows):
+                value, touched = sums(part, dimension)
+                row, bucket = np.nonzero(touched)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row + first)), pa.array(bucket.astype(np.int32)), pa.array(value[row, bucket])], ["key", "bucket", "value"])
+                first += len(part)
+
+    low = _spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", F.coalesce(T.clean(F.lower("text")), F.lit("")).alias("low"))
+    found = low.mapInArrow(run, f"key {kind.simpleString()}, bucket int, value double")
+    return found.groupBy(F.col("key").alias(key), "bucket").agg(F.sum("value").alias("value"))
+
+
+def embedded(texts: list[str], dimension: int = DIMENSION) -> np.ndarray:
+    """A unit vector for each text; zeros for one without features."""
+    value = np.concatenate([np.zeros((0, dimension)), *(sums(part, dimension)[0] for part in _slices([" ".join(t.lower().split()) for t in texts]))])
+    norm = np.sqrt((value * value).sum(1, keepdims=True))
+    return np.divide(value, norm, out=np.zeros_like(value), where=norm > 0)
 
 
 def embed_py(text: str, dimension: int = DIMENSION) -> list[float]:
-    low = " ".join(text.lower().split())
-    flat, v = low.replace(" ", "_"), [0.0] * dimension
-    for f, w in [*((f"tok:{t}", TOKEN_WEIGHT) for t in T.tokens_py(low)), *((f"tri:{flat[i : i + 3]}", TRIGRAM_WEIGHT) for i in range(max(0, len(flat) - 2)))]:
-        h = hashlib.sha1(f.encode()).digest()
-        v[int.from_bytes(h[:4], "big") % dimension] += w if h[4] % 2 == 0 else -w
-    norm = math.sqrt(sum(x * x for x in v))
-    return [x / norm for x in v] if norm else v
+    return embedded([text], dimension)[0].tolist()
 
 
 def embed(df: DataFrame, text: str, dimension: int = DIMENSION, out: str = "vector", spread: bool = True) -> DataFrame:
@@ -62,9 +105,9 @@ def embed(df: DataFrame, text: str, dimension: int = DIMENSION, out: str = "vect
 
     @F.pandas_udf(T_.ArrayType(T_.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.asarray(embed_py(t or "", dimension), np.float32))
+        return pd.Series(list(embedded([t or "" for t in texts], dimension).astype(np.float32)), dtype=object)
 
-    return (df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4) if spread else df).withColumn(out, run(F.col(text)))
+    return (_spread(df) if spread else df).withColumn(out, run(F.col(text)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -74,6 +117,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) > 0, product).otherwise(0.0)
 
 
+def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    """The vectors as rows of `width` numbers: cut, or filled with zeros."""
+    n = len(vectors)
+    flat = vectors.flatten()
+    if not vectors.null_count and not flat.null_count and len(flat) == n * width and (np.diff(vectors.offsets.to_numpy()) == width).all():
+        return flat.to_numpy().astype(float).reshape(n, width)
+    m = np.zeros((n, width))
+    for i, v in enumerate(vectors.to_pylist()):
+        v = np.asarray(v or (), float)[:width]
+        m[i, : len(v)] = v
+    return m
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, item_key: str = "item_id", vector: str = "vector", tie: str | None = None) -> DataFrame:
     """The k items with the largest positive dot product for each query: query_id, item_key, score, rank. Exact: every item is compared.
 
@@ -98,10 +154,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, item_key: str = "item_
             keys = batch.column(item_key).to_pylist()
             if not ids or not keys:
                 continue
-            m = np.zeros((len(keys), matrix.shape[1]))
-            for i, v in enumerate(batch.column(vector).to_pylist()):
-                v = np.asarray(v or (), float)[: matrix.shape[1]]
-                m[i, : len(v)] = v
+            m = _matrix(batch.column(vector), matrix.shape[1])
             place = np.argsort(np.argsort(np.array(keys)))
             out: list[list] = [[], [], []]
             for s in range(0, len(ids), block):
