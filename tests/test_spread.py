@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from groundsearch.functions import lexicons as L
 from groundsearch.functions import text as T
-from groundsearch.operators import features
+from groundsearch.operators import features, planner
 from groundsearch.sources import synthetic
 
 
@@ -29,3 +29,11 @@ def test_norm_and_clean_are_as_the_plain_forms(spark):
 
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.clean(F.col("t")).alias("c"), plain(F.col("t")).alias("pc"), T.norm(F.col("t")).alias("n"), one_by_one(F.col("t")).alias("pn")).collect()
     assert all(r.c == r.pc and r.n == r.pn == T.norm_py(r.t) for r in rows)
+
+
+def test_questions_of_one_partition_go_to_many_tasks(spark):
+    q = spark.range(50).coalesce(1).selectExpr("id AS question_id", "concat('What is the capacity of pump ', id, '?') AS question")
+    planned = planner.plan_batch(q)
+    assert planned.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plans = {r.question_id: r.plan.asDict() for r in planned.collect()}
+    assert len(plans) == 50 and all({k: tuple(v) if isinstance(v, list) else v for k, v in p.items()} == vars(planner.plan(f"What is the capacity of pump {k}?")) for k, p in plans.items())
